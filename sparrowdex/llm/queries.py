@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import mixing, quality_rules, secrets, simhash
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_source_mix": mixing.op3_source_mix,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": quality_rules.ORACLE,
+}
