@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secrets, simhash
+from . import mixing, quality_rules, secrets, simhash, substrings, tokenfile
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_source_mix": mixing.op3_source_mix,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_token_files": tokenfile.op6_token_files,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
