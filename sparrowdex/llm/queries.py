@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secrets, simhash, substrings, tokenfile
+from . import embeddings, mixing, pieces, quality_rules, secrets, simhash, substrings, tokenfile
 
 QUERIES = {
+    "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_token_files": tokenfile.op6_token_files,
     "op8_quality_rules": quality_rules.op8_quality_rules,
