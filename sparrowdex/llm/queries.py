@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, pieces, quality_rules, secrets, simhash, substrings, tokenfile
+from . import embeddings, mixing, pieces, quality_model, quality_rules, secrets, simhash, substrings, tokenfile
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_token_files": tokenfile.op6_token_files,
+    "op7_quality_classifier": quality_model.op7_quality_classifier,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
