@@ -19,6 +19,8 @@ FIT_DOCS = 4000
 BUCKETS = 1 << 14
 #: A document is kept if the probability that it is good is at least this.
 KEEP = 0.3
+#: Chance, at most, that a labeller calls a good document bad.
+FALSE_ALARM = 0.01
 #: Below so many words the scorer's doubts count less, by the square of the share.
 FULL_WORDS = 20
 
@@ -104,23 +106,23 @@ def voted(docs: DataFrame) -> DataFrame:
 def label_model(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     """Probability of good by vote pattern, by expectation-maximisation over pattern counts.
 
-    Each labeller has its own chance of each vote in each class, given which they are independent. It starts from the majority of votes.
+    Each labeller has its own chance of calling a good document bad and a bad one good, given which labellers are independent; when it
+    abstains it says nothing. Labellers are built to be precise: a good document is called bad by each with a chance of FALSE_ALARM at most.
+    It starts from the votes, a bad one counting thrice.
     """
     if not counts:
         return {}
     m = len(LABELLERS)
     codes = np.array(sorted(counts))
     n = np.array([counts[c] for c in codes.tolist()], float)
-    v = (codes[:, None] // 3 ** np.arange(m)) % 3
-    good = 1 / (1 + np.exp(-1.5 * ((v == 2).sum(1) - 3.0 * (v == 0).sum(1))))
-    one_hot = (v[:, :, None] == np.arange(3)).astype(float)
+    v = (codes[:, None] // 3 ** np.arange(m)) % 3 - 1
+    bad, fine = (v < 0).astype(float), (v > 0).astype(float)
+    good = 1 / (1 + np.exp(-1.5 * (fine.sum(1) - 3.0 * bad.sum(1) + 1)))
     for _ in range(rounds):
-        # smoothed as if every labeller had been right more often than not in a few cases
-        prior = np.array([[0.5, 1.0, 2.0], [2.0, 1.0, 0.5]])
-        chance = np.stack([(one_hot * (n * q)[:, None, None]).sum(0) + prior[k] for k, q in enumerate((good, 1 - good))])
-        chance /= chance.sum(axis=2, keepdims=True)
-        share = np.clip((n * good).sum() / n.sum(), 0.01, 0.99)
-        log = (one_hot[None] * np.log(chance)[:, None]).sum(axis=(2, 3))
+        alarm = [((bad.T @ (n * q)) + a) / (((bad + fine).T @ (n * q)) + a + b) for q, a, b in ((good, 0.1, 10.0), (1 - good, 2.0, 4.0))]
+        alarm = np.clip(alarm[0], 1e-4, FALSE_ALARM), np.clip(alarm[1], 0.05, 0.95)
+        share = np.clip((n * good).sum() / n.sum(), 0.05, 0.95)
+        log = [bad @ np.log(x) + fine @ np.log(1 - x) for x in alarm]
         new = 1 / (1 + np.exp(np.clip(log[1] - log[0] + np.log((1 - share) / share), -50, 50)))
         if np.abs(new - good).max() < 1e-6:
             break
