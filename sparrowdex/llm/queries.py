@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, pieces, quality_model, quality_rules, secrets, simhash, substrings, tokenfile
+from . import embeddings, mixing, pieces, quality_model, quality_rules, secrets, simhash, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_files": tokenfile.op6_token_files,
     "op7_quality_classifier": quality_model.op7_quality_classifier,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
