@@ -119,7 +119,8 @@ def segments(streams: DataFrame) -> DataFrame:
 def drawn(segs: DataFrame, out: DataFrame) -> DataFrame:
     """Joins blocks by index: one row per slot and document in its block, with the words `take` it takes of that document's segment."""
     a, b = segs.withColumn("_key", F.coalesce("source", F.lit("\x00null"))).drop("source"), out.withColumn("_key", F.coalesce("source", F.lit("\x00null")))
-    met = a.join(b, ["_key", "block"]).withColumn("take", F.least(F.col("n"), F.col("words") - F.col("lo")))
+    # slots come from a few rows by explode, so Spark takes them for small: never broadcast them
+    met = a.join(b.hint("shuffle_merge"), ["_key", "block"]).withColumn("take", F.least(F.col("n"), F.col("words") - F.col("lo")))
     return met.where("take > 0").drop("_key")
 
 
