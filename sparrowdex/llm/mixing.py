@@ -124,15 +124,22 @@ def drawn(segs: DataFrame, out: DataFrame) -> DataFrame:
     return met.where("take > 0").drop("_key")
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, row (a number of its own for each row, the same in each run over the same rows), source, size; written once.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with `row`: a key of its own for each row, the same in each run over the same rows.
 
-    Rows that repeat are told apart by their rank among equals.
+    That is (id, hash of text and source, rank among rows that have both in common). Ranks take a sort, so only tables with such rows get it.
     """
+    d = docs.withColumn("_h", F.xxhash64(F.col(text_col), F.col(source_col)))
+    twins = d.groupBy(id_col, "_h").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
+    again = F.row_number().over(W.partitionBy(id_col, "_h").orderBy(F.lit(1))) if twins else F.lit(1)
+    return d.withColumn("row", F.struct(F.col(id_col).alias("id"), F.col("_h").alias("h"), again.alias("again"))).drop("_h")
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, row (see keyed), source, size in words; written once."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(F.col(text_col)).alias("_h"))
-    again = F.row_number().over(W.partitionBy("id", "source", "size", "_h").orderBy(F.lit(1)))
-    return saved(d.withColumn("row", F.struct("id", "_h", again.alias("again"))).drop("_h"))
+    d = keyed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
+    return saved(d.select(F.col(id_col).alias("id"), "row", F.col(source_col).cast("string").alias("source"), words.alias("size")))
 
 
 def mixed(spark, sizes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
