@@ -6,7 +6,7 @@ Documents are dealt to chunks of bounded size. Four steps talk between chunks an
    each hash once, with the smallest document that has it as a block and the largest that has it as a window;
 2. a part tells the chunks which of their hashes are a block of a document smaller than one that has the window: the hits;
 3. a repeat of WINDOW words holds a whole block of the smaller document, since WINDOW >= 2 * ANCHOR - 1. So chunks
-   extend each hit, on both sides of it, to all WINDOW-word windows around it and send these windows' 128-bit hashes; a part finds
+   extend each hit, on both sides of it, to all WINDOW-word windows around it and send 96 bits of these windows' hashes; a part finds
    each one's smallest document and tells the chunks that have it in larger ones;
 4. a chunk joins the windows so found to maximal repeats and removes them.
 
@@ -35,7 +35,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 HITS = "chunk long, n int, keys binary, lo binary, hi binary"
 SENT = "part int, chunk long, n int, keys binary, docs binary, n_blocks int, block_keys binary, block_docs binary"
 WIDE = "part int, chunk long, n int, a binary, b binary, lo binary, hi binary"
-FOUND = "chunk long, n int, a binary, b binary, lo binary"
+FOUND = "chunk long, n int, a binary, lo binary"
 SPANS = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string"
 
 
@@ -99,8 +99,8 @@ class Chunk:
 
 
 def _low(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(part, low 48 bits) of hashes."""
-    return ((h >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64), h & np.uint64((1 << 48) - 1)
+    """(part, low 40 bits) of hashes: among the bounded number of hashes in a part these few bits hardly ever meet by chance, and such a hit finds no window."""
+    return ((h >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64), h & np.uint64((1 << 40) - 1)
 
 
 def _cuts(part: np.ndarray, parts: int) -> list[int]:
@@ -132,7 +132,7 @@ def _send(parts: int):
         for p in range(parts):
             i, j, k, m = cw[p], cw[p + 1], cb[p], cb[p + 1]
             if i < j:
-                for name, value in zip(rows, (p, chunk, j - i, _planes(w[1][i:j], 6), _planes(w[2][i:j]), m - k, _planes(b[1][k:m], 6), _planes(b[2][k:m])), strict=True):
+                for name, value in zip(rows, (p, chunk, j - i, _planes(w[1][i:j], 5), _planes(w[2][i:j]), m - k, _planes(b[1][k:m], 5), _planes(b[2][k:m])), strict=True):
                     rows[name].append(value)
         return pa.table(rows, schema=_schema(SENT))
 
@@ -147,7 +147,7 @@ def _schema(ddl: str) -> pa.Schema:
 def _hits(t: pa.Table) -> pa.Table:
     """Of one part's hashes, those that are a block of a document smaller than one that has them as a window."""
     part, rows = t.column("part")[0].as_py(), t.to_pylist()
-    bx = np.concatenate([_from_planes(r["block_keys"], r["n_blocks"], np.uint64, 6) for r in rows])
+    bx = np.concatenate([_from_planes(r["block_keys"], r["n_blocks"], np.uint64, 5) for r in rows])
     bd = np.concatenate([_from_planes(r["block_docs"], r["n_blocks"], np.int64) for r in rows])
     order = np.lexsort((bd, bx))
     bx, bd = bx[order], bd[order]
@@ -157,7 +157,7 @@ def _hits(t: pa.Table) -> pa.Table:
     hi = np.full(len(bx), _LEAST)
     out, matched = {k: [] for k in ("chunk", "n", "keys", "lo", "hi")}, []
     for r in rows if len(bx) else []:
-        x, d = _from_planes(r["keys"], r["n"], np.uint64, 6), _from_planes(r["docs"], r["n"], np.int64)
+        x, d = _from_planes(r["keys"], r["n"], np.uint64, 5), _from_planes(r["docs"], r["n"], np.int64)
         k = np.minimum(np.searchsorted(bx, x), len(bx) - 1)
         same = bx[k] == x
         k = k[same]
@@ -196,7 +196,7 @@ def _extend(parts: int):
         wide = wide[np.cumsum(edge)[wide] > 0]
         if not len(wide):
             return empty
-        a, b, d = c.rolled(WINDOW, wide, 0), c.rolled(WINDOW, wide, 1), c.doc_ids[c.doc_of[wide]]
+        a, b, d = c.rolled(WINDOW, wide, 0), c.rolled(WINDOW, wide, 1) & np.uint64((1 << 32) - 1), c.doc_ids[c.doc_of[wide]]
         part, _ = _low(a, parts)
         order = np.lexsort((d, b, a, part))
         a, b, d, part = a[order], b[order], d[order], part[order]
@@ -207,7 +207,7 @@ def _extend(parts: int):
         cut, out = _cuts(part, parts), {x.name: [] for x in _schema(WIDE)}
         for p in np.unique(part).tolist():
             i, j = cut[p], cut[p + 1]
-            for name, value in zip(out, (p, chunk, j - i, _planes(a[i:j]), _planes(b[i:j]), _planes(lo[i:j]), _planes(hi[i:j])), strict=True):
+            for name, value in zip(out, (p, chunk, j - i, _planes(a[i:j]), _planes(b[i:j], 4), _planes(lo[i:j]), _planes(hi[i:j])), strict=True):
                 out[name].append(value)
         return pa.table(out, schema=_schema(WIDE))
 
@@ -217,7 +217,7 @@ def _extend(parts: int):
 def _firsts(t: pa.Table) -> pa.Table:
     """Of one part's WINDOW-word windows, those that a chunk has in a document larger than their smallest."""
     rows = t.to_pylist()
-    a, b = (np.concatenate([_from_planes(r[k], r["n"], np.uint64) for r in rows]) for k in ("a", "b"))
+    a, b = (np.concatenate([_from_planes(r[k], r["n"], np.uint64, n) for r in rows]) for k, n in (("a", 8), ("b", 4)))
     lo, hi = (np.concatenate([_from_planes(r[k], r["n"], np.int64) for r in rows]) for k in ("lo", "hi"))
     of = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
     order = np.lexsort((lo, b, a))
@@ -226,14 +226,14 @@ def _firsts(t: pa.Table) -> pa.Table:
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     lo = lo[new][np.cumsum(new) - 1]
     late = hi > lo
-    a, b, lo, of = a[late], b[late], lo[late], of[late]
+    a, lo, of = a[late], lo[late], of[late]
     order = np.argsort(of, kind="stable")
-    a, b, lo, of = a[order], b[order], lo[order], of[order]
+    a, lo, of = a[order], lo[order], of[order]
     out = {x.name: [] for x in _schema(FOUND)}
     cut = np.searchsorted(of, np.arange(len(rows) + 1)).tolist()
     for k in np.unique(of).tolist():
         i, j = cut[k], cut[k + 1]
-        for name, value in zip(out, (rows[k]["chunk"], j - i, _planes(a[i:j]), _planes(b[i:j]), _planes(lo[i:j])), strict=True):
+        for name, value in zip(out, (rows[k]["chunk"], j - i, _planes(a[i:j]), _planes(lo[i:j])), strict=True):
             out[name].append(value)
     return pa.table(out, schema=_schema(FOUND))
 
@@ -243,23 +243,15 @@ def _remove(docs: pa.Table, found: pa.Table) -> pa.Table:
     gone = np.zeros(len(c.hashes) + WINDOW + 1, np.int32)
     if found.num_rows:
         rows = found.to_pylist()
-        a, b = (np.concatenate([_from_planes(r[k], r["n"], np.uint64) for r in rows]) for k in ("a", "b"))
-        lo = np.concatenate([_from_planes(r["lo"], r["n"], np.int64) for r in rows])
-        order = np.lexsort((b, a))
-        a, b, lo = a[order], b[order], lo[order]
+        a, lo = (np.concatenate([_from_planes(r[k], r["n"], kind) for r in rows]) for k, kind in (("a", np.uint64), ("lo", np.int64)))
+        order = np.argsort(a)
+        a, lo = a[order], lo[order]
         at = c.windows(WINDOW)
-        x = c.rolled(WINDOW, at, 0)
+        x = c.rolled(WINDOW, at)
         k = np.minimum(np.searchsorted(a, x), len(a) - 1)
-        at, x = at[a[k] == x], x[a[k] == x]
-        y = c.rolled(WINDOW, at, 1)
-        k = np.searchsorted(a, x)
-        for _ in range(int(np.unique(a, return_counts=True)[1].max())):  # once, but for two windows of one first hash
-            same = (k < len(a)) & (a[np.minimum(k, len(a) - 1)] == x)
-            kk = np.minimum(k, len(a) - 1)
-            hit = at[same & (b[kk] == y) & (c.doc_ids[c.doc_of[at]] > lo[kk])]
-            np.add.at(gone, hit, 1)
-            np.add.at(gone, hit + WINDOW, -1)
-            k = k + 1
+        hit = at[(a[k] == x) & (c.doc_ids[c.doc_of[at]] > lo[k])]
+        np.add.at(gone, hit, 1)
+        np.add.at(gone, hit + WINDOW, -1)
     gone = np.cumsum(gone)[: len(c.hashes)] > 0
     out = {k: [] for k in ("doc_id", "n_words", "n_removed", "spans", "kept_sha256")}
     for d, words, i, j in zip(c.ids, c.words, c.starts[:-1].tolist(), c.starts[1:].tolist(), strict=True):
