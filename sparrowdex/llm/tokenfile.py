@@ -163,10 +163,10 @@ class WordEncoder:
             if k % 64 == 0:  # some texts at a time, so that their new pre-tokens are encoded at one go
                 if len(self.cache) > CACHE:
                     self.old, self.cache = self.cache, {}
-                new = {x for s in split[k : k + 64] if s for x in s} - self.cache.keys()
-                again = new & self.old.keys()
-                self.cache.update((x, self.old[x]) for x in again)
-                self._learn(list(new - again))
+                new = set().union(*filter(None, split[k : k + 64])).difference(self.cache)
+                again = {x: self.old[x] for x in new if x in self.old}
+                self.cache |= again
+                self._learn(list(new.difference(again)))
             out.append(self.encode_whole(text) if parts is None else np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), "<u4"))
         return out
 
