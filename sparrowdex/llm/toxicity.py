@@ -136,7 +136,7 @@ class Kernel:
             self.hits.clear()
         for at in range(0, len(texts), 200):
             sets = [set(words_of(t)) for t in texts[at : at + 200]]
-            new = set().union(*sets) - self.none - self.hits.keys()
+            new = set().union(*sets).difference(self.none).difference(self.hits)
             self.learn_words(new)
             known = self.hits.keys()
             for t, s in zip(texts[at : at + 200], sets, strict=True):
