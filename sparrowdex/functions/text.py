@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A token is a run of letters and digits.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -138,17 +139,17 @@ def normalize_str(text: str | None) -> str:
     return re.sub(r"\n(?:[ \t]*\n)*", "\n", re.sub(r"[\t ]+", " ", t)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_content(text: pd.Series) -> pd.Series:
     return text.map(normalize_str)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_entities(text: pd.Series) -> pd.Series:
     return text.map(lambda t: decode_entities(t or ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def url_decode(text: pd.Series) -> pd.Series:
     return text.map(lambda t: decode_percent(t or ""))
 
@@ -215,7 +216,7 @@ def lemma(word: str, lang: str) -> str:
 
 
 def lemma_column(term: Column, lang: str) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda w: None if w is None else lemma(w, lang))
 

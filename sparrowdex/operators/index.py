@@ -18,17 +18,20 @@ KEY = "doc_id"
 
 @dataclass
 class Index:
-    """Tables of an index. `documents` has KEY, text, lang and stored fields; `postings` field, term, KEY, tf, positions, dl."""
+    """Tables of an index. `documents` has KEY, text, lang and stored fields; `postings` field, term, KEY, tf, positions, dl; `lengths` field, dl."""
 
     documents: DataFrame
     postings: DataFrame
+    lengths: DataFrame | None = None
 
     def terms(self, field: str = "text") -> DataFrame:
         """term, df, ttf of a field."""
         return self.postings.where(F.col("field") == field).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
 
     def field_stats(self, field: str = "text") -> DataFrame:
-        """n (documents that have the field) and avgdl, one row: each document has its length on its first posting."""
+        """n (documents that have the field) and avgdl, one row; without a table of lengths, from each document's first posting."""
+        if self.lengths is not None:
+            return self.lengths.where(F.col("field") == field).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         first = self.postings.where((F.col("field") == field) & F.col("is_first"))
         return first.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
@@ -57,7 +60,15 @@ def build_postings(docs: DataFrame, fields: dict[str, Column], lemma_fields: dic
 
 def build(docs: DataFrame, lemmas: bool = True) -> Index:
     """Index of documents (KEY, text, lang, ...). Null texts have no postings."""
-    return Index(docs, build_postings(docs, token_fields(F.col("text")), {"text_lemma_de": "de", "text_lemma_en": "en"} if lemmas else None))
+    fields = token_fields(F.col("text"))
+    return Index(docs, build_postings(docs, fields, {"text_lemma_de": "de", "text_lemma_en": "en"} if lemmas else None), lengths(docs, fields, lemmas))
+
+
+def lengths(docs: DataFrame, fields: dict[str, Column], lemmas: bool = False) -> DataFrame:
+    """field, dl of each document that has the field: no shuffle. Lemmas have the length of the text that they come from."""
+    names = {**{n: c for n, c in fields.items()}, **({"text_lemma_de": fields["text"], "text_lemma_en": fields["text"]} if lemmas else {})}
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.size(c).alias("dl")) for n, c in names.items()])
+    return docs.select(F.explode(pairs).alias("f")).select("f.*").where("dl > 0")
 
 
 # -- storage -----------------------------------------------------------------------------------------------------------------------

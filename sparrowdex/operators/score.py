@@ -52,7 +52,11 @@ def _terms(index: Index, node: q.Node, scored: bool) -> DataFrame:
 
 def phrase_frequency(positions: list[Column], slop: int) -> Column:
     """How often terms with these positions stand in order: exactly (slop 0), else sum of 1 / (1 + width) over matches within the slop."""
-    moved = [F.transform(p, lambda x, i=i: x - i) for i, p in enumerate(positions)]
+
+    def shifted(p: Column, i: int) -> Column:
+        return F.transform(p, lambda x: x - i)
+
+    moved = [shifted(p, i) for i, p in enumerate(positions)]
     if slop == 0:
         return F.size(reduce(F.array_intersect, moved)).cast("double")
 

@@ -136,5 +136,5 @@ def reconcile(listing: DataFrame, indexed: DataFrame, key: str = "doc_id", chang
 def crawl_statistics(files: DataFrame, extracted: DataFrame, seconds: float) -> DataFrame:
     """Found, indexed, failed, empty, bytes by folder, and rates."""
     d = files.select("path", "length").join(extracted.select("path", "error", F.length(F.trim("content")).alias("n")), "path", "left").withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
-    s = d.groupBy("folder").agg(F.count("*").alias("found"), F.count_if("error IS NULL AND n > 0").alias("indexed"), F.count_if("error IS NOT NULL").alias("failed"), F.count_if("error IS NULL AND n = 0").alias("empty"), F.sum("length").alias("bytes"))
+    s = d.groupBy("folder").agg(F.count("*").alias("found"), F.count_if(F.expr("error IS NULL AND n > 0")).alias("indexed"), F.count_if(F.expr("error IS NOT NULL")).alias("failed"), F.count_if(F.expr("error IS NULL AND n = 0")).alias("empty"), F.sum("length").alias("bytes"))
     return s.withColumn("files_per_s", F.col("found") / seconds).withColumn("mb_per_s", F.col("bytes") / 1e6 / seconds)
