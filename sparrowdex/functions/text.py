@@ -47,6 +47,11 @@ def digraph_tokens(c: Column) -> Column:
     return tokens(out)
 
 
+def digraph_str(folded: str) -> str:
+    """What digraph_tokens makes of a folded term."""
+    return folded.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+
+
 def clean(c: Column) -> Column:
     """Without control and zero-width characters; runs of two or more spaces are one space; trimmed."""
     return F.trim(F.regexp_replace(clean_keep_space(c), r"\s{2,}", " "))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
@@ -107,7 +108,7 @@ class Store:
         docs.write.parquet(f"{name}/documents")
         # a term's rows lie together within files, so that its row groups alone are read
         postings.sortWithinPartitions("term", KEY).write.partitionBy("field").parquet(f"{name}/postings")
-        line = json.dumps({"number": number, "path": name, "schema_version": SCHEMA_VERSION, "note": note})
+        line = json.dumps({"number": number, "path": name, "schema_version": SCHEMA_VERSION, "note": note, "tables": json.dumps([docs.schema.jsonValue(), postings.schema.jsonValue()])})
         self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/versions")
         return number
 
@@ -115,7 +116,8 @@ class Store:
         v = self.version()
         if v is None:
             raise FileNotFoundError(f"No index in {self.folder}")
-        return Index(self.spark.read.parquet(f"{v['path']}/documents"), self.spark.read.parquet(f"{v['path']}/postings"))
+        docs, postings = (StructType.fromJson(x) for x in json.loads(v["tables"]))  # an empty table has no files to tell its schema
+        return Index(self.spark.read.schema(docs).parquet(f"{v['path']}/documents"), self.spark.read.schema(postings).parquet(f"{v['path']}/postings"))
 
     def upsert(self, docs: DataFrame, lemmas: bool = True) -> int:
         """Replaces documents by key (the last of equal keys in `docs` by all columns wins) and adds new ones."""

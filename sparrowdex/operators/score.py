@@ -137,7 +137,7 @@ def language_boosts(index: Index) -> dict[str, float]:
 
 def multi_field(index: Index, node: q.Node, hint: str | None = None) -> DataFrame:
     """The query over text (twice the score), lemma fields (by their language's share, or the hinted one alone) and transliterations (half)."""
-    from ..functions.text import lemma
+    from ..functions.text import digraph_str, lemma
 
     if isinstance(node, q.MatchAll):
         return compile(index, node)
@@ -145,7 +145,7 @@ def multi_field(index: Index, node: q.Node, hint: str | None = None) -> DataFram
     langs = {hint: 1.0} if hint in ("de", "en") else {k: boosts.get(k, 0.3) for k in ("de", "en")}
     parts = [q.Bool(2.0, should=(node,))]
     parts += [q.Bool(b, should=(q.to_field(node, f"text_lemma_{k}", lambda t, k=k: lemma(t, k)),)) for k, b in langs.items()]
-    parts.append(q.Bool(0.5, should=(q.to_field(node, "text_translit"),)))
+    parts.append(q.Bool(0.5, should=(q.to_field(node, "text_translit", digraph_str),)))
     return compile(index, q.Bool(should=tuple(parts)))
 
 

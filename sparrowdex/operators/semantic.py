@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -59,8 +60,6 @@ def profile(chunks: DataFrame, query: list[float], threshold: float | None = Non
 
 def chunk_documents(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]], n_chars: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks with vectors: id, chunk_index, chunk_text, chunk_position, embedding. Texts beyond MAX_CHARS get none. `embed` is any picklable function."""
-    import pandas as pd
-
     ok = docs.where(F.length(text_col).between(1, MAX_CHARS))
     n = F.ceil(F.length(text_col) / n_chars).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(F.col(text_col), i * n_chars + 1, F.lit(n_chars)))
