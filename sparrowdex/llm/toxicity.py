@@ -15,10 +15,10 @@ from .common import table
 #: Letters in a subsequence, letters it may stretch over, weight of each letter it stretches over.
 ORDER, SPAN, DECAY = 3, 6, 0.6
 #: Kernel values below this count as none, so that only words like a landmark speak.
-LEAST = 0.45
+LEAST = 0.5
 #: Least share of a word's subsequences (by weight) that landmarks must have too before the kernel is computed.
 SHARED = 0.2
-LANDMARKS = 64
+LANDMARKS = 128
 #: Labelled documents of each class that the machine is fitted on, and sentences, at most: those with the smallest hashes.
 FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 2000, 4000, 40_000
 FLAG = 0.3
