@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 #: Letters in a subsequence, letters it may stretch over, weight of each letter it stretches over.
 ORDER, SPAN, DECAY = 3, 6, 0.6
@@ -177,15 +177,16 @@ def fit_scale(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.0), float(b)
 
 
-def fit(labelled: DataFrame) -> Kernel:
-    """labelled: id, text, toxic (0 or 1). Landmarks are the words that speak most for toxic documents; the SVM is trained on sentences.
+def fit(docs: DataFrame, labels: DataFrame) -> Kernel:
+    """docs: id, text; labels: id, toxic (0 or 1), those to learn from. Landmarks are the words that speak most for toxic documents; the SVM is trained on sentences.
 
     A sentence of a clean document is clean; one of a toxic document counts as toxic if it has a word like a landmark.
     """
     order = F.xxhash64("id", F.lit(1))
-    ids = labelled.select("id", "toxic").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    ids = labels.groupBy("id").agg(F.max("toxic").alias("toxic")).join(docs.select("id"), "id", "left_semi")
     some = ids.where("toxic = 1").orderBy(order).limit(FIT_TOXIC).union(ids.where("toxic = 0").orderBy(order).limit(FIT_CLEAN))
-    chosen = labelled.drop("toxic").join(F.broadcast(some), "id")  # FIT_TOXIC + FIT_CLEAN ids at most
+    some = saved(some)  # FIT_TOXIC + FIT_CLEAN ids at most: the texts stay where they are
+    chosen = saved(docs.join(F.broadcast(some), "id"))
 
     def list_words(batches):
         for b in batches:
@@ -213,17 +214,16 @@ def fit(labelled: DataFrame) -> Kernel:
                 rows.append((t, [v.tolist() for v in values]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.float64())))], ["id", "toxic", "s"])
 
-    docs = chosen.select("id", "text", F.col("toxic").cast("long")).mapInArrow(list_sentences, "id long, toxic long, s array<array<double>>")
-    docs = docs.select("toxic", F.slice("s", 1, FIT_SENTENCES // 100).alias("s")).persist()
-    rows = [(r["toxic"], np.array(r["v"])) for r in docs.select("toxic", F.explode("s").alias("v")).orderBy(F.xxhash64("v", "toxic")).limit(FIT_SENTENCES).collect()]
+    heard = chosen.select("id", "text", F.col("toxic").cast("long")).mapInArrow(list_sentences, "id long, toxic long, s array<array<double>>")
+    heard = saved(heard.select("toxic", F.slice("s", 1, FIT_SENTENCES // 100).alias("s")))
+    rows = [(r["toxic"], np.array(r["v"])) for r in heard.select("toxic", F.explode("s").alias("v")).orderBy(F.xxhash64("v", "toxic")).limit(FIT_SENTENCES).collect()]
     x = np.array([kernel.root @ v for _, v in rows] + [np.zeros(len(kernel.landmarks))])
     y = np.array([1.0 if t else -1.0 for t, _ in rows] + [-1.0])
     # the last row stands for the clean sentences without a hit
     weight = np.where(y > 0, 1 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum() - 1, 1))
     weight[-1] = 0.5
     kernel.weights, kernel.bias = fit_svm(x, y, weight)
-    pairs = [(kernel.decision([np.array(v) for v in r["s"]]), r["toxic"]) for r in docs.collect()]
-    docs.unpersist()
+    pairs = [(kernel.decision([np.array(v) for v in r["s"]]), r["toxic"]) for r in heard.collect()]
     # as many of each class as there are, not as many as were chosen
     kernel.scale = fit_scale(np.array([d for d, _ in pairs]), np.array([t for _, t in pairs], float))
     kernel.hits, kernel.none = {}, set()
@@ -248,8 +248,7 @@ def held_out(id_col: str):
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Learns from labelled documents that are not held out, and scores all. Without labels of both classes every score is that of no evidence."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    open_ = docs.where(~held_out("doc_id")).join(labels, "doc_id").select(F.col("doc_id").cast("long").alias("id"), "text", "toxic")
-    found = scored(docs, fit(open_))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
+    labels = table(spark, sf_dir, "labels").where("toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("id"), "toxic")
+    found = scored(docs, fit(docs, labels.where(~held_out("id"))), "id")
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= FLAG).cast("int").alias("predicted"))

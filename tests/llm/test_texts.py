@@ -242,8 +242,8 @@ def test_toxicity_learns(spark):
             w[rng.randrange(40)] = rng.choice(("moronic", "dimwit"))
         rows.append((i, " ".join(w) + ".", int(toxic)))
     df = spark.createDataFrame(rows, "id long, text string, toxic int")
-    k = toxicity.fit(df.where("id < 300"))
+    k = toxicity.fit(df.select("id", "text"), df.where("id < 300").select("id", "toxic"))
     test = spark.createDataFrame([(i, t) for i, t, _ in rows[300:]] + [(900, "you di-mwit. river"), (901, None), (902, "")], "doc_id long, text string")
     got = {r["id"]: r["score"] for r in toxicity.scored(test, k).collect()}
     assert all((got[i] >= 0.3) == bool(x) for i, _, x in rows[300:]) and got[900] >= 0.3 and got[901] == got[902] < 0.3
-    assert toxicity.scored(test, toxicity.fit(df.limit(0))).where("score IS NULL").count() == 0
+    assert toxicity.scored(test, toxicity.fit(df.select("id", "text"), df.select("id", "toxic").limit(0))).where("score IS NULL").count() == 0
