@@ -39,7 +39,7 @@ def nearest(chunks: DataFrame, query: list[float], k: int = K, id_col: str = "ve
 def search(chunks: DataFrame, query: list[float], parent: str, threshold: float | None = None, k: int = K, post_filter: Column | None = None, parents: DataFrame | None = None, page: int = 0, page_size: int = 10, filter_first: bool = False) -> DataFrame:
     """parent, best cosine, n_chunks, chunks: all passing chunks among the k nearest, by parent, paged by best cosine.
 
-    As in the reference semantics the page is cut first and filters on the parent apply to it; `filter_first` turns that round.
+    The page is cut first and filters on the parent apply to it; `filter_first` turns that round.
     """
     t = check_threshold(threshold)
     if filter_first and post_filter is not None:
