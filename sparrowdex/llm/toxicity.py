@@ -17,10 +17,10 @@ ORDER, SPAN, DECAY = 3, 6, 0.6
 #: Kernel values below this count as none, so that only words like a landmark speak.
 LEAST = 0.5
 #: Least share of a word's subsequences (by weight) that landmarks must have too before the kernel is computed.
-SHARED = 0.2
+SHARED = 0.4
 LANDMARKS = 128
 #: Labelled documents of each class that the machine is fitted on, and sentences, at most: those with the smallest hashes.
-FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 2000, 4000, 40_000
+FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 2000, 4000, 20_000
 FLAG = 0.3
 #: Words without a hit that a worker remembers.
 CACHE = 400_000
@@ -95,11 +95,27 @@ class Kernel:
         codes, inverse = np.unique(coded[0][0], return_inverse=True)
         return codes, np.bincount(inverse, coded[1], len(codes))
 
+    def _values(self, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Kernel of words of one length, given their subsequences' codes, with each landmark."""
+        n, size = len(code), self.base**ORDER
+        keys, inverse = np.unique(code.astype(np.int64) + np.arange(n)[:, None] * size, return_inverse=True)
+        value = np.bincount(inverse.ravel(), np.broadcast_to(weight, code.shape).ravel(), len(keys))
+        row, f = keys // size, self.feature[keys % size]
+        norm = np.sqrt(np.bincount(row, value * value, n))
+        row, value, f = row[f >= 0], value[f >= 0], f[f >= 0]
+        out = np.zeros((n, len(self.landmarks)))
+        if len(row):
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            out[row[first]] = np.add.reduceat(value[:, None] * self.table[f], first, axis=0)
+        out /= norm[:, None]
+        out[out < LEAST] = 0.0
+        return out
+
     def learn_words(self, words) -> None:
         """Computes the kernel of new words; those with a value of LEAST or more become hits."""
         by_length: dict[int, list[str]] = {}
         for w in words:
-            n = len(letters(w))
+            n = len(w if w.isalpha() else letters(w))
             if n >= ORDER:
                 by_length.setdefault(n, []).append(w)
         for n, group in by_length.items():
@@ -108,16 +124,15 @@ class Kernel:
                 some = group[at : at + step]
                 code, weight = self._codes([letters(w) for w in some], n)
                 shared = (self.feature[code] >= 0) @ weight
-                for k in np.flatnonzero(shared >= SHARED * weight.sum()).tolist():
-                    codes, values = self._exact((code[k : k + 1], weight))
-                    f = self.feature[codes]
-                    value = values[f >= 0] @ self.table[f[f >= 0]] / np.sqrt(values @ values)
-                    value[value < LEAST] = 0.0
-                    if value.any():
-                        self.hits[some[k]] = value
+                near = np.flatnonzero(shared >= SHARED * weight.sum())
+                for lo in range(0, len(near), 512):
+                    rows = near[lo : lo + 512]
+                    for k, value in zip(rows.tolist(), self._values(code[rows], weight), strict=True):
+                        if value.any():
+                            self.hits[some[k]] = value
         if len(self.none) > CACHE:
-            self.none.clear()
-        self.none.update(w for w in words if w not in self.hits)
+            self.none = set()
+        self.none.update(set(words).difference(self.hits))
 
     def sentences(self, text: str, found: set[str]) -> list[np.ndarray]:
         """Kernel values of the sentences with a hit: sums over their words."""
@@ -152,7 +167,7 @@ class Kernel:
         return float(1 / (1 + np.exp(-np.clip(a * decision + b, -40, 40))))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-3, rounds: int = 2000) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-3, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Linear machine with hinge loss: averaged subgradient steps over the whole (bounded) sample."""
     w, b, mean, mean_b = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
     weight = weight / weight.sum()
@@ -211,19 +226,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Kernel:
         for b in batches:
             rows = []
             for values, t in zip(kernel.batch([x or "" for x in b.column(1).to_pylist()]), b.column(2).to_pylist(), strict=True):
-                rows.append((t, [v.tolist() for v in values]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.float64())))], ["id", "toxic", "s"])
+                rows.append((t, [v.astype(np.float32).tobytes() for v in values]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], ["id", "toxic", "s"])
 
-    heard = chosen.select("id", "text", F.col("toxic").cast("long")).mapInArrow(list_sentences, "id long, toxic long, s array<array<double>>")
+    heard = chosen.select("id", "text", F.col("toxic").cast("long")).mapInArrow(list_sentences, "id long, toxic long, s array<binary>")
     heard = saved(heard.select("toxic", F.slice("s", 1, FIT_SENTENCES // 100).alias("s")))
-    rows = [(r["toxic"], np.array(r["v"])) for r in heard.select("toxic", F.explode("s").alias("v")).orderBy(F.xxhash64("v", "toxic")).limit(FIT_SENTENCES).collect()]
+    rows = [(r["toxic"], np.frombuffer(r["v"], np.float32)) for r in heard.select("toxic", F.explode("s").alias("v")).orderBy(F.xxhash64("v", "toxic")).limit(FIT_SENTENCES).collect()]
     x = np.array([kernel.root @ v for _, v in rows] + [np.zeros(len(kernel.landmarks))])
     y = np.array([1.0 if t else -1.0 for t, _ in rows] + [-1.0])
     # the last row stands for the clean sentences without a hit
     weight = np.where(y > 0, 1 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum() - 1, 1))
     weight[-1] = 0.5
     kernel.weights, kernel.bias = fit_svm(x, y, weight)
-    pairs = [(kernel.decision([np.array(v) for v in r["s"]]), r["toxic"]) for r in heard.collect()]
+    pairs = [(kernel.decision([np.frombuffer(v, np.float32) for v in r["s"]]), r["toxic"]) for r in heard.collect()]
     # as many of each class as there are, not as many as were chosen
     kernel.scale = fit_scale(np.array([d for d, _ in pairs]), np.array([t for _, t in pairs], float))
     kernel.hits, kernel.none = {}, set()
