@@ -135,18 +135,21 @@ def language_boosts(index: Index) -> dict[str, float]:
     return {r["lang"]: 0.3 + 0.7 * r["count"] / total for r in rows}
 
 
-def multi_field(index: Index, node: q.Node, hint: str | None = None) -> DataFrame:
-    """The query over text (twice the score), lemma fields (by their language's share, or the hinted one alone) and transliterations (half)."""
+def all_fields(index: Index, node: q.Node, hint: str | None = None) -> q.Bool:
+    """The tree of multi_field: a clause per field, each with the terms of its field."""
     from ..functions.text import digraph_str, lemma
 
-    if isinstance(node, q.MatchAll):
-        return compile(index, node)
     boosts = language_boosts(index)
     langs = {hint: 1.0} if hint in ("de", "en") else {k: boosts.get(k, 0.3) for k in ("de", "en")}
     parts = [q.Bool(2.0, should=(node,))]
     parts += [q.Bool(b, should=(q.to_field(node, f"text_lemma_{k}", lambda t, k=k: lemma(t, k)),)) for k, b in langs.items()]
     parts.append(q.Bool(0.5, should=(q.to_field(node, "text_translit", digraph_str),)))
-    return compile(index, q.Bool(should=tuple(parts)))
+    return q.Bool(should=tuple(parts))
+
+
+def multi_field(index: Index, node: q.Node, hint: str | None = None) -> DataFrame:
+    """The query over text (twice the score), lemma fields (by their language's share, or the hinted one alone) and transliterations (half)."""
+    return compile(index, node if isinstance(node, q.MatchAll) else all_fields(index, node, hint))
 
 
 def explain(index: Index, node: q.Node) -> DataFrame:

@@ -162,9 +162,10 @@ def multifield_boosted(spark, d):
 def multifield_lemmas(spark, d):
     """All four fields of a query, with lemma fields weighed by their language's share."""
     idx = index.build(read(spark, d, "documents"))
-    # the four fields' clauses read the same postings: keep those of the query's terms
-    idx.postings = idx.postings.where(F.col("term").isin("license", "licenses")).persist()
-    return score.multi_field(idx, q.rewrite(q.parse("licenses"))).select("doc_id", F.round("score", 6).alias("score"))
+    # the four fields' clauses read the same postings: keep those of each field's terms (its lemmas, in the lemma fields)
+    node = score.all_fields(idx, q.rewrite(q.parse("licenses")))
+    idx.postings = idx.postings.where(F.col("term").isin(q.query_terms(node))).persist()
+    return score.compile(idx, node).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT lang, count(*) AS n, round(0.3 + 0.7 * count(*) / (SELECT count(*) FROM documents), 6) AS boost FROM documents GROUP BY lang")

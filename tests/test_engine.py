@@ -52,6 +52,27 @@ def test_lemma_and_transliteration_fields(engine):
     assert ids("ran") == {2} and ids("Mueller") == {4} and ids("vertrag") == {3, 4}
 
 
+def test_multifield_lemmas_against_all_four_fields(spark, tmp_path):
+    from math import log
+
+    from sparrowdex.functions.text import digraph_str, lemma
+    from sparrowdex.plans import catalogue
+
+    rows = [(1, "the license of the house", "en"), (2, "many licenses and a licens here", "en"), (3, "Die Licens im Haus", "de"), (4, "nothing of the kind", "en"), (5, None, "fr"), (6, "licenses licensed license", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    share = {k: 0.3 + 0.7 * sum(r[2] == k for r in rows) / len(rows) for k in ("de", "en")}
+    want: dict = {}
+    for boost, change in ((2.0, lambda w: w), (share["de"], lambda w: lemma(w, "de")), (share["en"], lambda w: lemma(w, "en")), (0.5, digraph_str)):
+        docs = {d: [change(w) for w in t.lower().split()] for d, t, _ in rows if t}
+        n, avg, term = len(docs), sum(map(len, docs.values())) / len(docs), change("licenses")
+        df = sum(term in w for w in docs.values())
+        for d, w in docs.items():
+            if tf := w.count(term):
+                want[d] = want.get(d, 0.0) + boost * log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * len(w) / avg))
+    got = {r["doc_id"]: r["score"] for r in catalogue.QUERIES["multifield_lemmas"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(abs(got[d] - want[d]) < 2e-6 for d in want)
+
+
 def test_page_facets_passages_actions(engine):
     p = engine.search("haus OR parties", page_size=2)
     assert p.total_hits == 4 and p.total_pages == 2 and p.has_next and not p.has_previous
