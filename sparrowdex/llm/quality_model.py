@@ -21,8 +21,6 @@ BUCKETS = 1 << 14
 KEEP = 0.3
 #: Chance, at most, that a labeller calls a good document bad.
 FALSE_ALARM = 0.01
-#: Below so many words the scorer's doubts count less, by the square of the share.
-FULL_WORDS = 20
 
 # Function words of four languages, for the labeller that looks for prose.
 COMMON = frozenset(
@@ -155,7 +153,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with `quality_score` (probability that the document is good) and `quality_kept` besides their own columns.
 
     Accuracies come from the votes on all documents, counted by pattern (3^labellers at most, so few that they go to the driver). The scorer
-    is fitted on FIT_DOCS documents. Null and empty texts score 1 and are kept. No text is shuffled.
+    is fitted on FIT_DOCS documents. Texts without words score 1 and are kept; all others have the scorer's verdict, however short. No text is shuffled.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counts = {r["votes"]: r["count"] for r in voted(plain).groupBy("votes").count().collect()}
@@ -186,7 +184,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             t = (t or "").encode()
             words = t.split()
             good = float(1 / (1 + np.exp(-np.clip(sum(w[k] * x for k, x in features(t, words).items()) + bias, -40, 40))))
-            out.append(1 - (1 - good) * min(1.0, len(words) / FULL_WORDS) ** 2)
+            out.append(good if words else 1.0)
         return pd.Series(out, dtype="float64")
 
     return docs.withColumn("quality_score", score(F.col(text_col).cast("string"))).withColumn("quality_kept", F.col("quality_score") >= KEEP)

@@ -98,6 +98,14 @@ def test_classifier_against_labels(spark):
     assert n.get((1, False), 0) <= 0.01 * n[1, True] and n.get((0, True), 0) <= 0.15 * n[0, False]
 
 
+def test_classifier_decides_on_short_texts(spark):
+    d = "/root/testdata/sf0.1"
+    short = spark.read.parquet(f"{d}/documents.parquet").where("size(split(trim(text), '\\\\s+')) < 17").select("doc_id").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    got = quality_model.op7_quality_classifier(spark, d).join(short, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in got}
+    assert n[0, False] >= 2 * n.get((0, True), 0) and n.get((1, False), 0) <= 0.02 * n[1, True]
+
+
 def test_pipeline(spark):
     cp = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
