@@ -14,10 +14,8 @@ from .common import saved, table
 
 #: Letters in a subsequence, letters it may stretch over, weight of each letter it stretches over.
 ORDER, SPAN, DECAY = 3, 6, 0.6
-#: Kernel values below this count as none, so that only words like a landmark speak.
+#: Kernel values below this count as none, so that only words like a landmark speak. A short landmark has less, if it has less with one letter put in.
 LEAST = 0.5
-#: Least share of a word's subsequences (by weight) that landmarks must have too before the kernel is computed.
-SHARED = 0.4
 LANDMARKS = 128
 #: Labelled documents of each class that the machine is fitted on, and sentences, at most: those with the smallest hashes.
 FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 2000, 4000, 20_000
@@ -77,6 +75,17 @@ class Kernel:
             values, vectors = np.linalg.eigh(self.table.T @ self.table)
             inverse = np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0.0)
             self.root = vectors @ np.diag(inverse) @ vectors.T
+        self.least = np.full(len(landmarks), LEAST)
+        for m, w in enumerate(landmarks):
+            put_in = [w[:k] + "\0" + w[k:] for k in range(1, len(w))]
+            code, weight = self._codes(put_in, len(w) + 1)
+            self.least[m] = min(LEAST, self._products(put_in, code, weight)[:, m].min())
+        self.least *= 1 - 1e-6
+        # each feature's landmarks and values as parts of the least value, one after the other, and the largest of each code
+        self.at, self.landmark = np.nonzero(self.table)
+        self.value = self.table[self.at, self.landmark] / self.least[self.landmark]
+        self.first = np.searchsorted(self.at, np.arange(len(self.table) + 1))
+        self.most = np.where(self.feature >= 0, (self.table / self.least).max(axis=1, initial=0.0)[self.feature], 0.0)
         self.weights, self.bias, self.scale = np.zeros(len(landmarks)), 0.0, (1.0, 0.0)
         self.none: set[str] = set()
         self.hits: dict[str, np.ndarray] = {}
@@ -95,24 +104,45 @@ class Kernel:
         codes, inverse = np.unique(coded[0][0], return_inverse=True)
         return codes, np.bincount(inverse, coded[1], len(codes))
 
-    def _values(self, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Kernel of words of one length, given their subsequences' codes, with each landmark."""
-        n, size = len(code), self.base**ORDER
-        keys, inverse = np.unique(code.astype(np.int64) + np.arange(n)[:, None] * size, return_inverse=True)
-        value = np.bincount(inverse.ravel(), np.broadcast_to(weight, code.shape).ravel(), len(keys))
-        row, f = keys // size, self.feature[keys % size]
-        norm = np.sqrt(np.bincount(row, value * value, n))
-        row, value, f = row[f >= 0], value[f >= 0], f[f >= 0]
+    def _bound(self, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """An upper bound of each word's kernel with any landmark, as a multiple of the landmark's least value. The product with a landmark is exact; a subsequence that occurs twice only adds to the norm."""
+        row, k = np.nonzero(self.feature[code] >= 0)
+        f = self.feature[code[row, k]]
+        n = self.first[f + 1] - self.first[f]
+        pair = np.repeat(self.first[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        product = np.bincount(np.repeat(row, n) * len(self.landmarks) + self.landmark[pair], np.repeat(weight[k], n) * self.value[pair], len(code) * len(self.landmarks))
+        return product.reshape(len(code), -1).max(axis=1, initial=0.0) / np.sqrt(weight @ weight)
+
+    def _products(self, words: list[str], code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Kernel of words of one length, given their subsequences' codes, with each landmark. In the norm all letters differ, foreign ones too."""
+        n = len(code)
+        x = np.array([list(map(ord, w)) for w in words], np.int64).reshape(n, -1)
+        alphabet, x = np.unique(x, return_inverse=True)
+        x, at = x.reshape(n, -1), _subsequences(x.size // n)[0]
+        size = len(alphabet)
+        own = np.broadcast_to(np.arange(n)[:, None], code.shape)
+        for k in range(ORDER):
+            own = own * size + x[:, at[:, k]]
+        _, inverse = np.unique(own, return_inverse=True)
+        norm = np.bincount(inverse.ravel(), np.broadcast_to(weight, code.shape).ravel())
+        first = np.zeros(len(norm), np.int64)
+        first[inverse.ravel()] = np.repeat(np.arange(n), code.shape[1])
+        norm = np.sqrt(np.bincount(first, norm * norm, n))
+        row, k = np.nonzero(self.feature[code] >= 0)
         out = np.zeros((n, len(self.landmarks)))
         if len(row):
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            out[row[first]] = np.add.reduceat(value[:, None] * self.table[f], first, axis=0)
-        out /= norm[:, None]
-        out[out < LEAST] = 0.0
+            start = np.flatnonzero(np.diff(row, prepend=-1))
+            out[row[start]] = np.add.reduceat(weight[k][:, None] * self.table[self.feature[code[row, k]]], start, axis=0)
+        return out / norm[:, None]
+
+    def _values(self, words: list[str], code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """_products, with none where a landmark's least value is not reached."""
+        out = self._products(words, code, weight)
+        out[out < self.least] = 0.0
         return out
 
     def learn_words(self, words) -> None:
-        """Computes the kernel of new words; those with a value of LEAST or more become hits."""
+        """Computes the kernel of new words; those with a value that is no less than a landmark's least become hits."""
         by_length: dict[int, list[str]] = {}
         for w in words:
             n = len(w if w.isalpha() else letters(w))
@@ -123,11 +153,14 @@ class Kernel:
             for at in range(0, len(group), step):
                 some = group[at : at + step]
                 code, weight = self._codes([letters(w) for w in some], n)
-                shared = (self.feature[code] >= 0) @ weight
-                near = np.flatnonzero(shared >= SHARED * weight.sum())
+                # upper bounds of the kernel: first with the largest value of each subsequence, then by landmark
+                near = np.flatnonzero(self.most[code] @ weight >= (1 - 1e-9) * np.sqrt(weight @ weight))
                 for lo in range(0, len(near), 512):
                     rows = near[lo : lo + 512]
-                    for k, value in zip(rows.tolist(), self._values(code[rows], weight), strict=True):
+                    rows = rows[self._bound(code[rows], weight) >= 1 - 1e-9]
+                    if not len(rows):
+                        continue
+                    for k, value in zip(rows.tolist(), self._values([letters(some[k]) for k in rows], code[rows], weight), strict=True):
                         if value.any():
                             self.hits[some[k]] = value
         if len(self.none) > CACHE:
@@ -167,7 +200,7 @@ class Kernel:
         return float(1 / (1 + np.exp(-np.clip(a * decision + b, -40, 40))))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-3, rounds: int = 600) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-3, rounds: int = 2000) -> tuple[np.ndarray, float]:
     """Linear machine with hinge loss: averaged subgradient steps over the whole (bounded) sample."""
     w, b, mean, mean_b = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
     weight = weight / weight.sum()

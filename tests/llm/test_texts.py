@@ -231,6 +231,15 @@ def test_kernel_by_definition():
     assert abs(k.hits["stupidly"][0] - want) < 1e-9
 
 
+@pytest.mark.parametrize(("landmark", "word", "value"), [
+    ("imbecile", "imxbecyile", 0.525), ("stupid", "stupidvwxyz", 0.619), ("stupid", "xyzstupidxyz", 0.558), ("idiot", "idiotxyzuv", 0.562), ("scum", "scxum", 0.450), ("fool", "foxol", 0.493),
+])
+def test_kernel_leaves_no_word_out(landmark, word, value):
+    k = toxicity.Kernel([landmark])
+    k.learn_words([word])
+    assert abs(k.hits[word][0] - value) < 2e-3
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(11)
     clean = ["the", "house", "river", "garden", "walk", "green", "paper", "window"]
