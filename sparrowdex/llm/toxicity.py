@@ -33,6 +33,22 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+_PIECE = re.compile(r"[^\W\d_]+")
+#: Letters that digits and marks are written for.
+_LIKE = str.maketrans("013457@$", "oieastas")
+_JOINT = re.compile(r"['’.*_-]?")
+
+
+def runs_of(token: str) -> list[str]:
+    """Readings of a token (characters without spaces, lower case) across digits and marks at which words_of breaks: two or three neighbouring pieces, and all, as they are written and with the letters that digits and marks look like."""
+    at = [m.span() for m in _PIECE.finditer(token)]
+    if len(at) < 2 or all(_JOINT.fullmatch(token, a[1], b[0]) for a, b in zip(at, at[1:])):
+        return []
+    spans = {(at[i][0], at[min(i + k, len(at)) - 1][1]) for k in (2, 3) for i in range(len(at) - 1)} | {(at[0][0], at[-1][1])}
+    written = {token[a:b] for a, b in spans}
+    return [w for w in sorted(written | {w.translate(_LIKE) for w in written}) if sum(map(str.isalpha, w)) >= ORDER]
+
+
 def letters(word: str) -> str:
     return word.translate(_MARKS)
 
@@ -89,6 +105,7 @@ class Kernel:
         self.weights, self.bias, self.scale = np.zeros(len(landmarks)), 0.0, (1.0, 0.0)
         self.none: set[str] = set()
         self.hits: dict[str, np.ndarray] = {}
+        self.runs: dict[str, list[str]] = {}
 
     def _codes(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
         get = self.letter.get
@@ -167,11 +184,17 @@ class Kernel:
             self.none = set()
         self.none.update(set(words).difference(self.hits))
 
-    def sentences(self, text: str, found: set[str]) -> list[np.ndarray]:
-        """Kernel values of the sentences with a hit: sums over their words."""
+    def sentences(self, text: str, found: set[str], found_runs: bool = False) -> list[np.ndarray]:
+        """Kernel values of the sentences with a hit: sums over their words, and over runs of words where digits or marks are put in (found_runs: there are any)."""
         out = []
         for s in _SENTENCE.split(text):
             values = [self.hits[w] for w in words_of(s) if w in self.hits] if s else []
+            for token in s.lower().split() if found_runs else ():
+                whole = max((self.hits[w] for w in self.runs.get(token, ()) if w in self.hits), key=np.max, default=None)
+                if whole is not None:  # the run counts instead of its parts if it is more like a landmark than each of them
+                    parts = [self.hits[w] for w in words_of(token) if w in self.hits]
+                    if whole.max() > max(map(np.max, parts), default=0.0):
+                        values.append(whole - np.sum(parts, axis=0) if parts else whole)
             if values:
                 out.append(np.sum(values, axis=0))
         if not out and found:  # a word that a sentence end cuts
@@ -184,12 +207,18 @@ class Kernel:
             self.hits.clear()
         for at in range(0, len(texts), 200):
             sets = [set(words_of(t)) for t in texts[at : at + 200]]
-            new = set().union(*sets).difference(self.none).difference(self.hits)
+            tokens = [{x for x in t.lower().split() if not x.isalpha()} for t in texts[at : at + 200]]
+            if len(self.runs) > CACHE:
+                self.runs = {}
+            for x in set().union(*tokens).difference(self.runs):
+                self.runs[x] = runs_of(x)
+            runs = [{w for x in some for w in self.runs[x]} for some in tokens]
+            new = set().union(*sets, *runs).difference(self.none).difference(self.hits)
             self.learn_words(new)
             known = self.hits.keys()
-            for t, s in zip(texts[at : at + 200], sets, strict=True):
-                found = s & known
-                yield self.sentences(t, found) if found else []
+            for t, s, r in zip(texts[at : at + 200], sets, runs, strict=True):
+                found, found_runs = s & known, r & known
+                yield self.sentences(t, found | found_runs, bool(found_runs)) if found or found_runs else []
 
     def decision(self, values: list[np.ndarray]) -> float:
         """Largest decision value of a text's sentences; a text with no hit has that of a sentence without one."""

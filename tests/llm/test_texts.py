@@ -240,6 +240,18 @@ def test_kernel_leaves_no_word_out(landmark, word, value):
     assert abs(k.hits[word][0] - value) < 2e-3
 
 
+def test_digits_and_marks_inside_insults():
+    k = toxicity.Kernel(["scum", "idiot", "trash", "moron", "loser"])
+    k.weights, k.bias = np.ones(5), -0.2
+    texts = ["sc1um", "id1ot", "You tr8ash!", "mo@ron", "lo/ser", "sc**um", "see,sc1um,there", "http://a.b/id1iot?x=2"]
+    clean = ["", "a river", "2024/05/06 12:30", "the house,river", "don't co-op e.g. 4th", "x1y2z3"]
+    found = list(k.batch(texts + clean))
+    assert all(found[: len(texts)]) and not any(found[len(texts) :])
+    # a run counts once, by its parts or whole
+    plain, joined = k.batch(["idiot", "idiot/house"])
+    assert np.allclose(plain[0], joined[0])
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(11)
     clean = ["the", "house", "river", "garden", "walk", "green", "paper", "window"]
