@@ -286,21 +286,30 @@ def fit(docs: DataFrame, labels: DataFrame) -> Kernel:
 
     def list_sentences(batches):
         for b in batches:
-            rows = []
-            for values, t in zip(kernel.batch([x or "" for x in b.column(1).to_pylist()]), b.column(2).to_pylist(), strict=True):
-                rows.append((t, [v.astype(np.float32).tobytes() for v in values]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], ["id", "toxic", "s"])
-
-    heard = chosen.select("id", "text", F.col("toxic").cast("long")).mapInArrow(list_sentences, "id long, toxic long, s array<binary>")
-    heard = saved(heard.select("toxic", F.slice("s", 1, FIT_SENTENCES // 100).alias("s")))
-    rows = [(r["toxic"], np.frombuffer(r["v"], np.float32)) for r in heard.select("toxic", F.explode("s").alias("v")).orderBy(F.xxhash64("v", "toxic")).limit(FIT_SENTENCES).collect()]
+            for id_, values, t in zip(b.column(0).to_pylist(), kernel.batch([x or "" for x in b.column(1).to_pylist()]), b.column(2).to_pylist(), strict=True):
+                for at in range(0, len(values), 1000):
+                    part = [v.astype(np.float32).tobytes() for v in values[at : at + 1000]]
+                    columns = [pa.array([id_] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int64()), pa.array([t] * len(part), pa.int64()), pa.array(part, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "k", "toxic", "v"])
+
+    # the sentences with the smallest hashes, wherever in their documents they stand
+    texts = chosen.select("id", "text", F.col("toxic").cast("long"))
+    heard = texts.mapInArrow(list_sentences, "id long, k long, toxic long, v binary").orderBy(F.xxhash64("id", "k", "v"), "toxic").limit(FIT_SENTENCES)
+    rows = [(r["toxic"], np.frombuffer(r["v"], np.float32)) for r in heard.select("toxic", "v").collect()]
     x = np.array([kernel.root @ v for _, v in rows] + [np.zeros(len(kernel.landmarks))])
     y = np.array([1.0 if t else -1.0 for t, _ in rows] + [-1.0])
     # the last row stands for the clean sentences without a hit
     weight = np.where(y > 0, 1 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum() - 1, 1))
     weight[-1] = 0.5
     kernel.weights, kernel.bias = fit_svm(x, y, weight)
-    pairs = [(kernel.decision([np.frombuffer(v, np.float32) for v in r["s"]]), r["toxic"]) for r in heard.collect()]
+
+    def decide(batches):
+        for b in batches:
+            found = [kernel.decision(v) for v in kernel.batch([x or "" for x in b.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), b.column(2)], ["d", "toxic"])
+
+    # over all sentences of each document, as in scoring
+    pairs = [(r["d"], r["toxic"]) for r in texts.mapInArrow(decide, "d double, toxic long").collect()]
     # as many of each class as there are, not as many as were chosen
     kernel.scale = fit_scale(np.array([d for d, _ in pairs]), np.array([t for _, t in pairs], float))
     kernel.hits, kernel.none = {}, set()

@@ -268,3 +268,17 @@ def test_toxicity_learns(spark):
     got = {r["id"]: r["score"] for r in toxicity.scored(test, k).collect()}
     assert all((got[i] >= 0.3) == bool(x) for i, _, x in rows[300:]) and got[900] >= 0.3 and got[901] == got[902] < 0.3
     assert toxicity.scored(test, toxicity.fit(df.select("id", "text"), df.select("id", "toxic").limit(0))).where("score IS NULL").count() == 0
+
+
+def test_toxicity_learns_from_late_sentences(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_SENTENCES", 1000)  # ten sentences of a document, before
+    rows = [(i, "dimwit river. " * 12 + "moronic garden. " * 12 if i % 2 else "The river. " * 12, i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_svm", lambda x, y, weight, f=toxicity.fit_svm: seen.append(len(np.unique(x.round(4), axis=0))) or f(x, y, weight))
+    scale = []
+    monkeypatch.setattr(toxicity, "fit_scale", lambda d, y, f=toxicity.fit_scale: scale.append(d) or f(d, y))
+    k = toxicity.fit(df.select("id", "text"), df.select("id", "toxic"))
+    assert seen == [3]  # a sentence of each kind, and none
+    want = {round(k.decision(v), 4) for v in k.batch([t for _, t, _ in rows])}
+    assert {round(float(d), 4) for d in scale[0]} == want
