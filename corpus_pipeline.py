@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowdex.llm import mixing, pieces, quality_model, secrets, simhash
-from sparrowdex.llm.common import new_folder, table
+from sparrowdex.llm.common import new_folder, saved, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each near-duplicate group; of rows that share that doc_id, one."""
-    heads = simhash.near_duplicates(docs).where("id = component_id").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("_n"))
-    kept = docs.join(heads, "doc_id")
+    """Keeps one row of each near-duplicate group, that of the smallest doc_id; rows without a doc_id are in groups too, after those with one.
+
+    Rows are joined by doc_id (null as well) and a hash of all columns; of equal rows one is kept.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    heads = saved(simhash.heads(keyed, "_key").select(F.col("id").alias("_id"), F.col("key").alias("_head"), F.col("n").alias("_n")))
+    kept = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_head")))
     one = kept.where("_n = 1").select(*docs.columns)
-    return one.unionByName(kept.where("_n > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return one.unionByName(kept.where("_n > 1").dropDuplicates(["doc_id", "_key"]).select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

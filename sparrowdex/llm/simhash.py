@@ -47,15 +47,15 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, fp) per row; fp is the fingerprint as a signed long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """One row (id, fp) per row, and columns `more` (long); fp is the fingerprint as a signed long. Null texts count as empty."""
 
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((_signed(simhash(t)) for t in texts), pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((_signed(simhash(t)) for t in texts), pa.int64()), *b.columns[2:]], ["id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more).mapInArrow(run, "id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def near_pairs(fps: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
@@ -96,6 +96,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp", "left")
 
 
+def heads(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (id, key, n) per near-duplicate group: its smallest id (nulls last), of rows that share it the smallest key, and the number of rows with both.
+
+    key_col: a long, the same for rows with one id only if they are equal. Groups are of fingerprints, so rows without an id are in them as well.
+    """
+    rows = fingerprints(docs, id_col, text_col, key_col).groupBy("fp", "id", F.col(key_col).alias("key")).agg(F.count("*").alias("n"))
+    head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("head")
+    classes = saved(rows.groupBy("fp").agg(head))
+    roots = connected_components(near_pairs(classes.select(F.col("fp").alias("node"), "fp")))
+    named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return named.groupBy(F.coalesce("root", "fp").alias("component")).agg(F.min("head").alias("head")).select("head.id", "head.key", "head.n")
+
+
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

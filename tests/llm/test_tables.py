@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowdex.llm import mixing, quality_model
+from sparrowdex.llm import mixing, quality_model, simhash
 
 
 def water_fill(sizes, weights):
@@ -134,3 +135,17 @@ def test_pipeline(spark):
                 assert not Counter(words) - have
             assert all(v <= 3 * len(source[i].split()) for i, v in n.items())
     assert seen[1] <= seen[0] and seen[2] < seen[1] and docs.where("NOT exact").count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    cp = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a, None), (2, b, "x"), (2, c, "x"), (3, b, "y"), (None, d, None), (None, e, "x"), (None, e, "x"), (None, a, "x"), (5, d + " end", "x"), (0, c, None), (7, "", "x"), (7, "", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, df, "").collect()), key=str)
+    near = bin((simhash.simhash(d.encode()) ^ simhash.simhash((d + " end").encode()))).count("1") <= simhash.RADIUS
+    want = [(1, a), (2, b), (0, c), (None, e), (7, ""), (5, d + " end"), *([] if near else [(None, d)])]
+    assert got == sorted(want, key=str)
+    assert cp.near_dedup(spark, df.limit(0), "").count() == 0
