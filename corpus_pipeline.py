@@ -52,10 +52,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes what the mix has taken: one row per row of the mix."""
+    """Encodes and decodes what the mix has taken: one row per row of the mix, with its ids, its decoded text and its other columns."""
     import public_tokenizers
 
-    found = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=others)
     return found.withColumnRenamed("id", "doc_id")
 
 

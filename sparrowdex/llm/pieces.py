@@ -170,18 +170,30 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def _parts(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            yield b.slice(at, 512)
+
+
+def _encoded(m: PieceModel, texts: pa.Array) -> pa.ListArray:
+    lists = [m.encode(t or "").astype(np.int32) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]), pa.int32()))
+
+
+def _decoded(m: PieceModel, ids: pa.ListArray) -> pa.Array:
+    flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+    return pa.array([m.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, ids array<int>) per row; a null text gives no ids. No shuffle."""
 
     def run(batches):
         m = model(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                lists = [m.encode(t or "").astype(np.int32) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), _encoded(m, part.column(1))], ["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids array<int>")
 
@@ -191,38 +203,39 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         m = model(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], ["id", "text"])
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), _decoded(m, part.column(1))], ["id", "text"])
 
     return encoded.mapInArrow(run, "id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every text: id, n_tokens, n_bytes (byte pieces), ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256, exact (the text came back)."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encodes every text and decodes its ids: id, columns `keep` as they are, ids, text (decoded), and what follows from these columns: n_tokens, n_bytes (byte pieces), ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256, exact (the text came back)."""
     import hashlib
 
+    names = ["id", *keep, "ids", "text", "n_tokens", "n_bytes", "ids_crc32", "decoded_sha256", "exact"]
+
     def run(batches):
         m = model(path)
-        names = ["id", "n_tokens", "n_bytes", "ids_crc32", "decoded_sha256", "exact"]
         is_byte = np.array([k == BYTE for k in m.kinds])
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part, rows = b.slice(at, 512), []
-                for t in part.column(1).to_pylist():
-                    ids = m.encode(t or "")
-                    back = m.decode(ids.tolist())
-                    rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
-
-    out = "id long, n_tokens long, n_bytes long, ids_crc32 long, decoded_sha256 string, exact boolean"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+        for part in _parts(batches):
+            ids = _encoded(m, part.column(1))
+            text = _decoded(m, ids)
+            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+            rows = []
+            for k, (t, back) in enumerate(zip(part.column(1).to_pylist(), text.to_pylist(), strict=True)):
+                x = flat[ends[k] : ends[k + 1]]
+                rows.append((len(x), int(is_byte[x].sum()), zlib.crc32(x.astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (t or "")))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], ids, text, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
+
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out = f"id long{kept}, ids array<int>, text string, n_tokens long, n_bytes long, ids_crc32 long, decoded_sha256 string, exact boolean"
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, out)
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """All documents encoded, decoded and compared. Null text counts as empty: no tokens, exact."""
+    """All documents encoded (ids), decoded (text) and compared. Null text counts as empty: no tokens, exact."""
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")

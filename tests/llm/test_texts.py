@@ -181,6 +181,21 @@ def test_encode_decode_tables(spark):
     assert pieces.round_trip(df, path).where("NOT exact").count() == 0 and pieces.round_trip(df.limit(0), path).count() == 0
 
 
+def test_round_trip_returns_what_it_encodes(spark, tmp_path):
+    import corpus_pipeline
+    df = spark.createDataFrame([(1, "a  b\nc é執", "en", "s"), (2, None, None, "t"), (3, "", "de", None), (None, "long words " * 3000, "en", "s")], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    m = pieces.PieceModel(P.path("piece_bpe_32k.model"))
+    for out, more in ((pieces.op4_sentencepiece(spark, str(tmp_path)), ()), (corpus_pipeline.sentencepiece(spark, df, ""), ("lang", "source"))):
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert len(got) == 4
+        for r in df.collect():
+            x, ids = got[r["doc_id"]], m.encode(r["text"] or "")
+            assert x["ids"] == ids.tolist() and x["text"] == (r["text"] or "") and all(x[c] == r[c] for c in more)
+            assert (x["n_tokens"], x["n_bytes"], x["ids_crc32"]) == (len(ids), sum(k in m.byte_of for k in x["ids"]), zlib.crc32(ids.tobytes()))
+            assert x["exact"] and x["decoded_sha256"] == hashlib.sha256(x["text"].encode()).hexdigest()
+
+
 # -- quality rules
 
 def test_quality_measures(spark):
