@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -100,25 +101,53 @@ def brute_vectors(vectors, t=0.95):
     return n, roots(len(vectors), links)
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "TILE", 40)
+def vectors_of_every_kind():
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(6, 16))
     v = [*rng.normal(size=(60, 16)), *(centre[k % 6] + rng.normal(size=16) * 0.12 for k in range(150)), *[centre[0]] * 20, *[centre[1] * 3.0] * 5]
     v = [[float(np.float32(y)) for y in x] for x in v]
-    v += [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0]]
+    return v + [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0]]
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_embeddings(spark, monkeypatch, kind):
+    v = vectors_of_every_kind()
     n, root = brute_vectors(v)
-    df = spark.createDataFrame([(k, x, "s") for k, x in enumerate(v)], "vec_id long, embedding array<double>, node string")
-    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
-    assert got == {k: (n[k], root[k]) for k in range(len(v))} and sum(n) > 1000
+    df = spark.createDataFrame([(k, x, "s", 1) for k, x in enumerate(v)], f"vec_id long, embedding array<{kind}>, node string, cell int")
+    for tile, block in ((1 << 20, (1024, 4096)), (40 * 16 * 8, (16, 24))):
+        monkeypatch.setattr(embeddings, "TILE_BYTES", tile)
+        monkeypatch.setattr(embeddings, "BLOCK", block)
+        monkeypatch.setattr(embeddings, "SAMPLE", 50)
+        got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+        assert got == {k: (n[k], root[k]) for k in range(len(v))} and sum(n) > 1000
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_and_missing_ids(spark):
+    v = [[1.0, 0.0], [0.0, 1.0], [0.99, 0.1], [0.01, 1.0], [0.0, 1.0], [-1.0, 0.0], [-1.0, 0.01], None]
+    ids = [1, 1, 2, 3, None, None, None, None]
+    n, root = brute_vectors(v)
+    least = {}
+    for k, r in enumerate(root):
+        least[r] = min((x for x in (least.get(r), ids[k]) if x is not None), default=None)
+    df = spark.createDataFrame([(i, x) for i, x in zip(ids, v)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str)
+    assert got == sorted(((ids[k], n[k], least[root[k]]) for k in range(len(v))), key=str)
+
+
 def test_bounds_never_lose_a_link():
     rng = np.random.default_rng(4)
     a = embeddings._unit(rng.normal(size=(300, 64)) + 3)
+    turn = np.linalg.eigh(a.T @ a)[1][:, ::-1]
     for t in (0.9, 0.95):
-        assert ((a @ a.T >= t) <= embeddings._links(a, a, t)).all()
+        got = {(x, y) for i, j in embeddings.linked(a, a, a @ turn, a @ turn, t, True) for x, y in zip(i.tolist(), j.tolist())}
+        assert got == {(x, y) for x, y in zip(*np.nonzero(a @ a.T >= t)) if x < y}
+    y = a @ turn
+    boxes = np.array([np.concatenate([x[:, :4].min(0), x[:, :4].max(0), [embeddings._tails(x, 4).max()]]) for x in np.array_split(y[np.argsort(y[:, 1])], 10)])
+    parts = np.array_split(np.argsort(y[:, 1]), 10)
+    for k in range(10):
+        near = set(embeddings.near_cells(boxes, boxes[k], 0.95).tolist())
+        assert all(m in near for m in range(10) if (a[parts[k]] @ a[parts[m]].T >= 0.95).any())
 
 
 def test_query_columns(spark):
