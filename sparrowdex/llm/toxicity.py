@@ -1,9 +1,14 @@
-"""Toxicity: a support vector machine on a gap-weighted subsequence kernel, through Nyström landmarks."""
+"""Toxicity: a support vector machine on a gap-weighted subsequence kernel, through Nyström landmarks.
+
+The kernel compares words; a sentence's is the sum over its words, so a landmark is a word. Values below LEAST (see there) count as none, in
+fitting and scoring alike.
+"""
 
 from __future__ import annotations
 
 import re
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,38 +24,52 @@ LEAST = 0.5
 LANDMARKS = 128
 #: Labelled documents of each class that the machine is fitted on, and sentences, at most: those with the smallest hashes.
 FIT_TOXIC, FIT_CLEAN, FIT_SENTENCES = 2000, 4000, 20_000
+#: Standard errors by which a landmark's odds must differ from those of any word.
+CERTAIN = 2.0
 FLAG = 0.3
-#: Words without a hit that a worker remembers.
+#: Tokens that a worker remembers.
 CACHE = 400_000
 
-_WORD = re.compile(r"[^\W\d_](?:[ .*_-][^\W\d_](?![^\W\d_])){2,}|[^\W\d_]+(?:['’.*_-][^\W\d_]+)*")
-_SENTENCE = re.compile(r"[.!?]+\s+|\n+")
+_WORD = re.compile(r"[^\W\d_](?:[.*_-][^\W\d_](?![^\W\d_])){2,}|[^\W\d_]+(?:['’.*_-][^\W\d_]+)*")
+#: Single letters set apart by spaces.
+_SPACED = re.compile(r"(?<![^\s])[^\W\d_](?: [^\W\d_](?![^\W\d_])){2,}")
 _MARKS = str.maketrans("", "", " .*_-'’")
-
-
-def words_of(text: str) -> list[str]:
-    """Words in lower case; single letters set apart by spaces or marks are one word, and marks inside a word are kept."""
-    return _WORD.findall(text.lower())
-
-
 _PIECE = re.compile(r"[^\W\d_]+")
+_EDGES = ".,;:!?\"'()[]{}<>«»“”„’‘…-*_/\\|#&%$@+=~^`0123456789"
+_ENDS = (".", "!", "?")
 #: Letters that digits and marks are written for.
 _LIKE = str.maketrans("013457@$", "oieastas")
 _JOINT = re.compile(r"['’.*_-]?")
+#: Longer runs of letters are read as pieces of so many letters that overlap by half.
+LONG = 64
+
+
+def letters(word: str) -> str:
+    return word.translate(_MARKS)
+
+
+def pieces(word: str) -> list[str]:
+    """A word without its marks, cut into overlapping pieces if it is a very long one; nothing if it is too short for a subsequence."""
+    n = len(word)
+    if n <= LONG:
+        return [word] if n >= ORDER else []
+    return [word[k : k + LONG] for k in range(0, n - LONG // 2, LONG // 2)]
+
+
+def words_of(token: str) -> list[str]:
+    """Words in a token (characters without spaces, lower case), without marks; single letters set apart by marks are one word."""
+    word = token.strip(_EDGES)
+    return pieces(word) if word.isalpha() else [x for w in _WORD.findall(token) for x in pieces(letters(w))]
 
 
 def runs_of(token: str) -> list[str]:
-    """Readings of a token (characters without spaces, lower case) across digits and marks at which words_of breaks: two or three neighbouring pieces, and all, as they are written and with the letters that digits and marks look like."""
+    """Readings of a token across digits and marks at which words_of breaks: two or three neighbouring pieces, and all, as they are written and with the letters that digits and marks look like."""
     at = [m.span() for m in _PIECE.finditer(token)]
     if len(at) < 2 or all(_JOINT.fullmatch(token, a[1], b[0]) for a, b in zip(at, at[1:])):
         return []
     spans = {(at[i][0], at[min(i + k, len(at)) - 1][1]) for k in (2, 3) for i in range(len(at) - 1)} | {(at[0][0], at[-1][1])}
-    written = {token[a:b] for a, b in spans}
-    return [w for w in sorted(written | {w.translate(_LIKE) for w in written}) if sum(map(str.isalpha, w)) >= ORDER]
-
-
-def letters(word: str) -> str:
-    return word.translate(_MARKS)
+    written = {letters(token[a:b]) for a, b in spans}
+    return sorted({x for w in written | {w.translate(_LIKE) for w in written} for x in pieces(w)})
 
 
 _spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -62,18 +81,25 @@ def _subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
         rest = [c for c in combinations(range(1, SPAN), ORDER - 1)]
         at = np.array([(i, *(i + k for k in c)) for i in range(n) for c in rest if i + c[-1] < n], np.int32).reshape(-1, ORDER)
         _spans[n] = at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
-        if len(_spans) > 200:
-            _spans.pop(next(iter(_spans)))
     return _spans[n]
 
 
+def _points(words: list[str], n: int) -> np.ndarray:
+    """Code points of words of n letters."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n)
+
+
 class Kernel:
     """Normalised subsequence kernel of words against landmarks, and the linear machine over the landmarks' Nyström features."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.letter = {c: k + 1 for k, c in enumerate(sorted({c for w in landmarks for c in w}))}
-        self.base = len(self.letter) + 1  # all foreign letters are one more letter
+        known = sorted({c for w in landmarks for c in w})
+        self.base = len(known) + 1  # all foreign letters are one more letter
+        self.letter = np.zeros(1 << 16, np.int32)
+        for k, c in enumerate(known):
+            if ord(c) < 0xFFFF:
+                self.letter[ord(c)] = k + 1
         self.feature = np.full(self.base**ORDER, -1, np.int32)
         n_features, triples = 0, []
         for m, (codes, values) in enumerate(self._exact(self._codes([w], len(w))) for w in landmarks):
@@ -103,13 +129,17 @@ class Kernel:
         self.first = np.searchsorted(self.at, np.arange(len(self.table) + 1))
         self.most = np.where(self.feature >= 0, (self.table / self.least).max(axis=1, initial=0.0)[self.feature], 0.0)
         self.weights, self.bias, self.scale = np.zeros(len(landmarks)), 0.0, (1.0, 0.0)
-        self.none: set[str] = set()
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what a worker remembers: words and tokens with a kernel value, tokens seen."""
         self.hits: dict[str, np.ndarray] = {}
-        self.runs: dict[str, list[str]] = {}
+        self.tokens: dict[str, np.ndarray] = {}
+        self.seen: set[str] = set()
+        self.single: set[str] = set()  # tokens of one character
 
     def _codes(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-        get = self.letter.get
-        x = np.array([[get(c, 0) for c in w] for w in words], np.int32).reshape(len(words), n)
+        x = self.letter[np.minimum(_points(words, n), 0xFFFF)]
         at, weight = _subsequences(n)
         code = x[:, at[:, 0]]
         for k in range(1, ORDER):
@@ -133,9 +163,8 @@ class Kernel:
     def _products(self, words: list[str], code: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Kernel of words of one length, given their subsequences' codes, with each landmark. In the norm all letters differ, foreign ones too."""
         n = len(code)
-        x = np.array([list(map(ord, w)) for w in words], np.int64).reshape(n, -1)
-        alphabet, x = np.unique(x, return_inverse=True)
-        x, at = x.reshape(n, -1), _subsequences(x.size // n)[0]
+        alphabet, x = np.unique(_points(words, len(words[0])), return_inverse=True)
+        x, at = x.reshape(n, -1).astype(np.int64), _subsequences(x.size // n)[0]
         size = len(alphabet)
         own = np.broadcast_to(np.arange(n)[:, None], code.shape)
         for k in range(ORDER):
@@ -159,70 +188,91 @@ class Kernel:
         return out
 
     def learn_words(self, words) -> None:
-        """Computes the kernel of new words; those with a value that is no less than a landmark's least become hits."""
+        """Computes the kernel of words; those with a value that is no less than a landmark's least become hits."""
         by_length: dict[int, list[str]] = {}
         for w in words:
-            n = len(w if w.isalpha() else letters(w))
-            if n >= ORDER:
-                by_length.setdefault(n, []).append(w)
+            by_length.setdefault(len(w), []).append(w)
         for n, group in by_length.items():
-            step = max(1, 2_000_000 // (12 * n))
+            step = max(1, 1_000_000 // (10 * n))
             for at in range(0, len(group), step):
                 some = group[at : at + step]
-                code, weight = self._codes([letters(w) for w in some], n)
+                code, weight = self._codes(some, n)
                 # upper bounds of the kernel: first with the largest value of each subsequence, then by landmark
                 near = np.flatnonzero(self.most[code] @ weight >= (1 - 1e-9) * np.sqrt(weight @ weight))
                 for lo in range(0, len(near), 512):
                     rows = near[lo : lo + 512]
                     rows = rows[self._bound(code[rows], weight) >= 1 - 1e-9]
-                    if not len(rows):
-                        continue
-                    for k, value in zip(rows.tolist(), self._values([letters(some[k]) for k in rows], code[rows], weight), strict=True):
-                        if value.any():
-                            self.hits[some[k]] = value
-        if len(self.none) > CACHE:
-            self.none = set()
-        self.none.update(set(words).difference(self.hits))
-
-    def sentences(self, text: str, found: set[str], found_runs: bool = False) -> list[np.ndarray]:
-        """Kernel values of the sentences with a hit: sums over their words, and over runs of words where digits or marks are put in (found_runs: there are any)."""
-        out = []
-        for s in _SENTENCE.split(text):
-            values = [self.hits[w] for w in words_of(s) if w in self.hits] if s else []
-            for token in s.lower().split() if found_runs else ():
-                whole = max((self.hits[w] for w in self.runs.get(token, ()) if w in self.hits), key=np.max, default=None)
-                if whole is not None:  # the run counts instead of its parts if it is more like a landmark than each of them
-                    parts = [self.hits[w] for w in words_of(token) if w in self.hits]
-                    if whole.max() > max(map(np.max, parts), default=0.0):
-                        values.append(whole - np.sum(parts, axis=0) if parts else whole)
-            if values:
-                out.append(np.sum(values, axis=0))
-        if not out and found:  # a word that a sentence end cuts
-            out = [np.sum([self.hits[w] for w in found], axis=0)]
+                    if len(rows):
+                        for k, value in zip(rows.tolist(), self._values([some[k] for k in rows], code[rows], weight), strict=True):
+                            if value.any():
+                                self.hits[some[k]] = value
+
+    def learn_tokens(self, tokens: set[str]) -> None:
+        """Computes the kernel values of tokens: the sum over a token's words, or those of a run across digits and marks if it is more like a landmark than each of them."""
+        read: dict[str, list[str]] = {}
+        odd: dict[str, tuple[list[str], list[str]]] = {}
+        for x in tokens:
+            word = x.strip(_EDGES)
+            if word.isalpha() and len(word) <= LONG:
+                if len(word) >= ORDER:
+                    read.setdefault(word, []).append(x)
+            else:
+                odd[x] = words_of(x), runs_of(x)
+        self.learn_words(set(read).union(*(w for w, _ in odd.values()), *(r for _, r in odd.values())).difference(self.hits))
+        hits = self.hits
+        for w in read.keys() & hits.keys():
+            for x in read[w]:
+                self.tokens[x] = hits[w]
+        for x, (words, runs) in odd.items():
+            parts = [hits[w] for w in words if w in hits]
+            whole = max((hits[w] for w in runs if w in hits), key=np.max, default=None)
+            if whole is not None and whole.max() > max(map(np.max, parts), default=0.0):
+                self.tokens[x] = whole
+            elif parts:
+                self.tokens[x] = np.sum(parts, axis=0)
+
+    def sentences(self, text: str, spaced: bool = False) -> list[list]:
+        """The sentences of a text (lower case) with a hit, each as the tokens, or words of single letters (spaced: there may be any), that have one. A sentence ends at a line's end or a token that ends in one of _ENDS."""
+        out, known, hits = [], self.tokens, self.hits
+        for line in text.split("\n"):
+            found = []
+            if spaced:
+                found += [w for m in _SPACED.findall(line) for w in pieces(letters(m)) if w in hits]
+            for x in line.split():
+                if x in known:
+                    found.append(x)
+                if found and x.endswith(_ENDS):
+                    out.append(found)
+                    found = []
+            if found:
+                out.append(found)
         return out
 
+    def total(self, found: list[str]) -> np.ndarray:
+        return np.sum([self.tokens[x] if x in self.tokens else self.hits[x] for x in found], axis=0)
+
     def batch(self, texts: list[str]):
-        """For each text, the kernel values of its sentences that have a hit."""
-        if len(self.hits) > CACHE:
-            self.hits.clear()
+        """For each text, its sentences that have a hit. All words are learnt once, whatever number of texts has them."""
         for at in range(0, len(texts), 200):
-            sets = [set(words_of(t)) for t in texts[at : at + 200]]
-            tokens = [{x for x in t.lower().split() if not x.isalpha()} for t in texts[at : at + 200]]
-            if len(self.runs) > CACHE:
-                self.runs = {}
-            for x in set().union(*tokens).difference(self.runs):
-                self.runs[x] = runs_of(x)
-            runs = [{w for x in some for w in self.runs[x]} for some in tokens]
-            new = set().union(*sets, *runs).difference(self.none).difference(self.hits)
-            self.learn_words(new)
-            known = self.hits.keys()
-            for t, s, r in zip(texts[at : at + 200], sets, runs, strict=True):
-                found, found_runs = s & known, r & known
-                yield self.sentences(t, found | found_runs, bool(found_runs)) if found or found_runs else []
-
-    def decision(self, values: list[np.ndarray]) -> float:
+            low = [t.lower() for t in texts[at : at + 200]]
+            sets = [set(t.split()) for t in low]
+            if len(self.seen) > CACHE:
+                self.forget()
+            new = set().union(*sets).difference(self.seen)
+            self.learn_tokens(new)
+            self.seen |= new
+            self.single |= {x for x in new if len(x) == 1}
+            known = self.tokens.keys()
+            for t, s in zip(low, sets, strict=True):
+                apart = {w for m in _SPACED.findall(t) for w in pieces(letters(m))} if len(self.single & s) > 1 else ()
+                if apart:
+                    self.learn_words(apart.difference(self.hits))
+                spaced = any(w in self.hits for w in apart)
+                yield self.sentences(t, spaced) if spaced or not known.isdisjoint(s) else []
+
+    def decision(self, sentences: list[list]) -> float:
         """Largest decision value of a text's sentences; a text with no hit has that of a sentence without one."""
-        return max((float(self.weights @ (self.root @ v)) for v in values), default=0.0) + self.bias
+        return max((float(self.weights @ (self.root @ self.total(x))) for x in sentences), default=0.0) + self.bias
 
     def probability(self, decision: float) -> float:
         a, b = self.scale
@@ -254,47 +304,65 @@ def fit_scale(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.0), float(b)
 
 
+def disguised(word: str, turn: int) -> str:
+    """The word with a letter, a digit or a mark put in, or a letter replaced by a mark, at a place that `turn` chooses."""
+    turn, kind = divmod(turn, 4)
+    put = ("abcdefghijklmnopqrstuvwxyz", "0123456789", ".*_-@/", "*")[kind]
+    turn, k = divmod(turn, len(put))
+    at = 1 + turn % (len(word) - 1)
+    return word[:at] + put[k] + word[at + (kind == 3) :]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Kernel:
     """docs: id, text; labels: id, toxic (0 or 1), those to learn from. Landmarks are the words that speak most for toxic documents; the SVM is trained on sentences.
 
-    A sentence of a clean document is clean; one of a toxic document counts as toxic if it has a word like a landmark.
+    A sentence of a clean document is clean; one of a toxic document counts as toxic if it has a word like a landmark. Each toxic sentence is
+    trained on once more with its words disguised. Of documents with the same text one is fitted on.
     """
     order = F.xxhash64("id", F.lit(1))
     ids = labels.groupBy("id").agg(F.max("toxic").alias("toxic")).join(docs.select("id"), "id", "left_semi")
     some = ids.where("toxic = 1").orderBy(order).limit(FIT_TOXIC).union(ids.where("toxic = 0").orderBy(order).limit(FIT_CLEAN))
     some = saved(some)  # FIT_TOXIC + FIT_CLEAN ids at most: the texts stay where they are
-    chosen = saved(docs.join(F.broadcast(some), "id"))
+    chosen = saved(docs.join(F.broadcast(some), "id").select("id", "text", F.col("toxic").cast("long")))
+    once = saved(chosen.dropDuplicates(["text", "toxic"]))
 
     def list_words(batches):
         for b in batches:
-            rows = [(w, t) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in {letters(w) for w in words_of(x or "")} if ORDER <= len(w) <= 40]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["word", "toxic"])
+            for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = sorted({w for x in set((text or "").lower().split()) for w in words_of(x)})
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([t] * len(words), pa.int64())], ["word", "toxic"])
 
-    sizes = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
+    sizes = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Kernel([])
-    counted = chosen.select("text", F.col("toxic").cast("long")).mapInArrow(list_words, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    counted = once.select("text", "toxic").mapInArrow(list_words, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     a, b = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("n") - F.col("a") + 0.5) / (n0 + 1.0)
     z = F.log(a / b) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
     # rarely in clean documents, and far from chance
-    telling = counted.where("a >= 3").withColumn("z", z).where((F.log(a / b) > 1.5) & (F.col("z") > 2.0)).orderBy(F.desc(F.log(a / b) * F.sqrt("a")), "word").limit(LANDMARKS)
+    telling = counted.where("a >= 3").withColumn("z", z).where((F.log(a / b) > 1.5) & (F.col("z") > CERTAIN)).orderBy(F.desc(F.log(a / b) * F.sqrt("a")), "word").limit(LANDMARKS)
     kernel = Kernel([r["word"] for r in telling.collect()])
     if not kernel.landmarks:
         kernel.scale = (0.0, float(np.log(n1 / n0)))
         return kernel
 
+    def in_disguise(id_, found):
+        """The sentences with their words disguised, as far as they still have a hit."""
+        again = [[disguised(w, crc32(f"{id_} {k} {w}".encode())) for w in x] for k, x in enumerate(found)]
+        kernel.learn_tokens({w for x in again for w in x})
+        return [x for x in ([w for w in x if w in kernel.tokens] for x in again) if x]
+
     def list_sentences(batches):
         for b in batches:
-            for id_, values, t in zip(b.column(0).to_pylist(), kernel.batch([x or "" for x in b.column(1).to_pylist()]), b.column(2).to_pylist(), strict=True):
+            for id_, found, t in zip(b.column(0).to_pylist(), kernel.batch([x or "" for x in b.column(1).to_pylist()]), b.column(2).to_pylist(), strict=True):
+                values = [kernel.total(x) for x in (found + in_disguise(id_, found) if t else found)]
                 for at in range(0, len(values), 1000):
                     part = [v.astype(np.float32).tobytes() for v in values[at : at + 1000]]
                     columns = [pa.array([id_] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int64()), pa.array([t] * len(part), pa.int64()), pa.array(part, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "k", "toxic", "v"])
 
     # the sentences with the smallest hashes, wherever in their documents they stand
-    texts = chosen.select("id", "text", F.col("toxic").cast("long"))
-    heard = texts.mapInArrow(list_sentences, "id long, k long, toxic long, v binary").orderBy(F.xxhash64("id", "k", "v"), "toxic").limit(FIT_SENTENCES)
+    heard = once.mapInArrow(list_sentences, "id long, k long, toxic long, v binary").orderBy(F.xxhash64("id", "k", "v"), "toxic").limit(FIT_SENTENCES)
     rows = [(r["toxic"], np.frombuffer(r["v"], np.float32)) for r in heard.select("toxic", "v").collect()]
     x = np.array([kernel.root @ v for _, v in rows] + [np.zeros(len(kernel.landmarks))])
     y = np.array([1.0 if t else -1.0 for t, _ in rows] + [-1.0])
@@ -305,14 +373,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Kernel:
 
     def decide(batches):
         for b in batches:
-            found = [kernel.decision(v) for v in kernel.batch([x or "" for x in b.column(1).to_pylist()])]
+            found = [kernel.decision(x) for x in kernel.batch([x or "" for x in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), b.column(2)], ["d", "toxic"])
 
-    # over all sentences of each document, as in scoring
-    pairs = [(r["d"], r["toxic"]) for r in texts.mapInArrow(decide, "d double, toxic long").collect()]
-    # as many of each class as there are, not as many as were chosen
+    # over all sentences of each document, as in scoring: one number a document, as many of each class as there are
+    pairs = [(r["d"], r["toxic"]) for r in chosen.mapInArrow(decide, "d double, toxic long").collect()]
     kernel.scale = fit_scale(np.array([d for d, _ in pairs]), np.array([t for _, t in pairs], float))
-    kernel.hits, kernel.none = {}, set()
+    kernel.forget()
     return kernel
 
 
@@ -333,7 +400,12 @@ def held_out(id_col: str):
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Learns from labelled documents that are not held out, and scores all. Without labels of both classes every score is that of no evidence."""
+    """Learns from labelled documents that are not held out, and scores all. Without labels of both classes every score is that of no evidence.
+
+    A null text counts as empty; both have the score of a text without evidence. Rows that share a doc_id are scored one by one and learnt from under
+    the id's largest label; rows without one are scored, not learnt from and not held out. Very long runs of letters are read in pieces (LONG).
+    Labels other than 0 and 1 and columns besides doc_id, text and toxic are not read. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
     labels = table(spark, sf_dir, "labels").where("toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("id"), "toxic")
     found = scored(docs, fit(docs, labels.where(~held_out("id"))), "id")

@@ -222,10 +222,12 @@ def test_quality_measures(spark):
 def test_kernel_tolerates_gaps():
     k = toxicity.Kernel(["idiot", "stupid"])
     words = ["idiot", "id-iot", "idiiot", "idxiot", "stpid", "stupidd", "i d i o t", "house", "radio", "ab"]
-    k.learn_words(words)
-    assert set(k.hits) >= {"idiot", "id-iot", "idiiot", "idxiot", "stupidd", "i d i o t"} and not {"house", "radio", "ab"} & set(k.hits)
+    hit = {w for w, found in zip(words, k.batch(words), strict=True) if found}
+    assert hit >= {"idiot", "id-iot", "idiiot", "idxiot", "stupidd", "i d i o t"} and not {"house", "radio", "ab"} & hit
     assert abs(k.hits["idiot"][0] - 1) < 1e-9 and k.hits["idxiot"][0] < 1
-    assert toxicity.words_of("You i.d.i.o.t, a b c!") == ["you", "i.d.i.o.t", "a b c"]
+    assert [toxicity.words_of(x) for x in "you i.d.i.o.t, (a.b.c!) l'eau".split()] == [["you"], ["idiot"], ["abc"], ["leau"]]
+    near, far = k.batch(["You I D I O T. Go", "Go on. i\nd i\no t"])
+    assert len(near) == 1 and not far
 
 
 def test_kernel_by_definition():
@@ -264,7 +266,56 @@ def test_digits_and_marks_inside_insults():
     assert all(found[: len(texts)]) and not any(found[len(texts) :])
     # a run counts once, by its parts or whole
     plain, joined = k.batch(["idiot", "idiot/house"])
-    assert np.allclose(plain[0], joined[0])
+    assert np.allclose(k.total(plain[0]), k.total(joined[0]))
+
+
+def test_sentences_are_summed_one_by_one():
+    k = toxicity.Kernel(["idiot", "moron", "trash"])
+    k.weights, k.bias = np.ones(3), -1.0
+    one, two, apart = (k.decision(x) for x in k.batch(["An idiot!", "idiot, moron it is", "idiot. A moron\nand\ntrash"]))
+    # by hand: the sum over a sentence's words of their kernel with each landmark
+    k.learn_words(["idiot", "moron"])
+    want = [float(k.weights @ (k.root @ v)) - 1 for v in (k.hits["idiot"], k.hits["idiot"] + k.hits["moron"], k.hits["idiot"])]
+    assert np.allclose([one, two, apart], want)
+    assert k.decision([]) == -1
+
+
+def test_very_long_runs_of_letters():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    k = toxicity.Kernel(["idiot", "trash"])
+    rng = random.Random(5)
+    run = "".join(rng.choice("bcfgklpqvwxz") for _ in range(1_000_000))
+    found = list(k.batch([run, run[:500_000] + "idiot" * 30 + run[500_000:], "idiot" * 20, "1a" * 300_000]))
+    assert [bool(x) for x in found] == [False, True, True, False]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # KB
+    pieces = toxicity.pieces(run)
+    assert len(pieces[0]) == 64 and all(a[32:] == b[: len(a) - 32] or len(b) <= 64 for a, b in zip(pieces, pieces[1:])) and run.startswith(pieces[0]) and run.endswith(pieces[-1])
+
+
+def test_toxicity_table_of_every_kind(spark):
+    rows = [(i, ("you idiot here" if i % 2 else "a river in the sun") + f" {i}", None) for i in range(60)]
+    odd = [(None, "you idiot here", "x"), (None, None, "x"), (7, "you idiot here 7", None), (7, "another text", None), (61, "", None), (62, "river " * 30_000 + "idiot.", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2, "s") for i in range(60)] + [(None, 1, "s"), (3, None, "s"), (5, 9, "s")], "doc_id long, toxic int, lang string")
+    path = spark.conf.get("spark.checkpoint.dir") + "/toxic"
+    docs.write.mode("overwrite").parquet(path + "/documents.parquet")
+    labels.write.mode("overwrite").parquet(path + "/labels.parquet")
+    got = toxicity.op9_toxicity(spark, path)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    got = got.collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r["predicted"])
+    assert {i: x for i, x in by.items() if i in range(60) and i != 7 and x != [i % 2]} == {}, got[:4]
+    assert sorted(by[7]) == [0, 1] and sorted(by[None]) == [0, 1] and by[61] == [0] and by[62] == [1]
+    import zlib
+
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    docs.limit(0).write.mode("overwrite").parquet(path + "/documents.parquet")
+    assert toxicity.op9_toxicity(spark, path).count() == 0
 
 
 def test_toxicity_learns(spark):
@@ -294,6 +345,6 @@ def test_toxicity_learns_from_late_sentences(spark, monkeypatch):
     scale = []
     monkeypatch.setattr(toxicity, "fit_scale", lambda d, y, f=toxicity.fit_scale: scale.append(d) or f(d, y))
     k = toxicity.fit(df.select("id", "text"), df.select("id", "toxic"))
-    assert seen == [3]  # a sentence of each kind, and none
+    assert seen[0] >= 3  # a sentence of each kind, none, and sentences in disguise
     want = {round(k.decision(v), 4) for v in k.batch([t for _, t, _ in rows])}
     assert {round(float(d), 4) for d in scale[0]} == want
