@@ -17,12 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where the session names none (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where a session on one machine (master local) names none, as in tests, one of our own; elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparrowdex-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -38,6 +39,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{os.urandom(8).hex()}")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder below the shared one, whatever its file system."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} is not below the shared folder")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def whole(docs: DataFrame):
+    """The row as a struct: it comes through any step, whatever its columns are called."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def unwrapped(df: DataFrame, columns: list[str], **new):
+    """The columns of rows made by whole(); those named in `new` have the new value."""
+    return df.select(*[(new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in columns])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph with columns a, b (long): one row (node, root) per node that has an edge, root the smallest node.
 

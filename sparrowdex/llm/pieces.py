@@ -209,11 +209,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, "id long, text string")
 
 
+#: Columns that round_trip adds.
+ROUND_TRIP = ("ids", "text", "n_tokens", "n_bytes", "ids_crc32", "decoded_sha256", "exact")
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encodes every text and decodes its ids: id, columns `keep` as they are, ids, text (decoded), and what follows from these columns: n_tokens, n_bytes (byte pieces), ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256, exact (the text came back)."""
     import hashlib
 
-    names = ["id", *keep, "ids", "text", "n_tokens", "n_bytes", "ids_crc32", "decoded_sha256", "exact"]
+    names = ["id", *keep, *ROUND_TRIP]
 
     def run(batches):
         m = model(path)
@@ -231,11 +235,15 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     out = f"id long{kept}, ids array<int>, text string, n_tokens long, n_bytes long, ids_crc32 long, decoded_sha256 string, exact boolean"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, out)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]).mapInArrow(run, out)
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """All documents encoded (ids), decoded (text) and compared. Null text counts as empty: no tokens, exact."""
+    """All documents encoded (ids), decoded (text) and compared, row by row.
+
+    Null text counts as empty: no tokens, exact. A very long text is cut into units, never shortened; a null doc_id stays null; rows that repeat
+    each have their row. Columns besides doc_id and text are not read. An empty table gives no rows.
+    """
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_folder, table, unwrapped, whole
 
 #: Version of RULES: findings of another version never count as seen.
 RULE_VERSION = 1
@@ -29,6 +29,7 @@ BASE = ("assign", "access", "hex")
 #: Whatever a rule can match holds one of these; only such texts go through the rules (RE2, over the whole batch at once).
 _MAY_HOLD = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|-----BEGIN |eyJ|gh[pousr]_|xox[abprs]-|AIza|://"
 
+SCANNED = "blob string, spans array<struct<kind:string,start:int,end:int>>"
 FINDINGS = "blob string, rule_version int, spans array<struct<kind:string,start:int,end:int>>"
 
 
@@ -48,7 +49,7 @@ def _scan(batches):
         hot = pc.match_substring_regex(text, _MAY_HOLD).to_pylist()
         spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(text[i].as_py())] if h else [] for i, h in enumerate(hot)]
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([RULE_VERSION] * b.num_rows, pa.int32()), pa.array(spans, kinds)], ["blob", "rule_version", "spans"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kinds)], ["blob", "spans"])
 
 
 def address(text_col: str = "text"):
@@ -66,30 +67,60 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text_col:
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
         blobs = blobs.join(seen, "blob", "left_anti")
-    return blobs.groupBy("blob", "body").agg(F.lit(1).alias("one")).select("blob", "body").mapInArrow(_scan, FINDINGS)
+    return blobs.groupBy("blob", "body").agg(F.lit(1).alias("one")).select("blob", "body").mapInArrow(_scan, SCANNED).select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
 
 
-def findings_by_path(versions: DataFrame, ledger: DataFrame, text_col: str = "text") -> DataFrame:
-    """`versions` without the text, with its blob and spans from the ledger: every path and version of a blob gets its findings."""
-    at = ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob"), F.col("spans"))
-    paths = versions.withColumn("blob", address(text_col)).drop(text_col, "spans")
-    return paths.join(at.where("size(spans) > 0"), "blob", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")))
+class Ledger:
+    """The ledger as a table in a folder: findings by blob and rule version, in a folder for each rule version. Runs read it and append what is new.
 
+    A run that is repeated, or two at once, may append a blob twice; readers take one row.
+    """
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def read(self) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], FINDINGS)
+        return self.spark.read.schema(FINDINGS).parquet(self.folder)
+
+    def holds(self) -> bool:
+        return not self.read().where(F.col("rule_version") == RULE_VERSION).isEmpty()
+
+    def update(self, versions: DataFrame, text_col: str = "text") -> "Ledger":
+        """Scans the blobs of `versions` that the ledger has not seen under RULE_VERSION, and appends their findings."""
+        found = scan_unseen(versions, self.read() if self.holds() else None, text_col)
+        found.write.mode("append").partitionBy("rule_version").parquet(self.folder)
+        return self
+
+    def findings(self) -> DataFrame:
+        """blob and spans of the blobs with a finding under RULE_VERSION, each once."""
+        rows = self.read().where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0))
+        return rows.dropDuplicates(["blob"]).select("blob", "spans")
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+
+def findings_by_path(versions: DataFrame, ledger: Ledger, text_col: str = "text") -> DataFrame:
+    """(doc, spans): the whole row of every version (see common.whole), without its text, with the findings of its blob."""
+    paths = versions.select(whole(versions.drop(text_col)), address(text_col).alias("blob"))
+    return paths.join(ledger.findings(), "blob", "left").select("doc", F.coalesce("spans", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")).alias("spans"))
+
+
+def redact(docs: DataFrame, ledger: Ledger, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with each maximal run of overlapping spans replaced by `mark`; other columns as they are, null texts stay null.
 
-    The texts are scanned where they lie once the ledger says which blobs hold a finding.
+    The ledger is brought up to date first; then the texts are cut where they lie.
     """
-    held = scan_unseen(docs, None, text_col).where("size(spans) > 0").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_blob", address(text_col)).join(held, "_blob", "left")
+    held = ledger.update(docs, text_col).findings()
+    joined = docs.select(whole(docs), address(text_col).alias("blob")).join(held, "blob", "left")
 
     @F.pandas_udf("string")
     def cut(text, spans):
         return text.combine(spans, lambda t, s: _cut(t, s, mark))
 
-    new = F.when(F.size("_spans") > 0, cut(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, new).select(*docs.columns)
+    text = F.col(f"doc.`{text_col}`").cast("string")
+    new = F.when(F.size("spans") > 0, cut(text, F.col("spans"))).otherwise(text)
+    return unwrapped(joined, docs.columns, **{text_col: new})
 
 
 def _cut(text, spans, mark):
@@ -104,9 +135,12 @@ def _cut(text, spans, mark):
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """Null text counts as empty; repeated rows each get their findings; extra columns do not matter; an empty table gives no rows."""
+    """Findings of every row of documents, by way of a ledger that is stored and read back: a new one, so that all texts are scanned.
+
+    Null text counts as empty; rows with the same text or the same doc_id (or none) each get their findings; extra columns do not matter; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings_by_path(docs, scan_unseen(docs))
+    found = findings_by_path(docs, Ledger(spark, new_folder(spark, "secret-ledger")).update(docs)).select("doc.doc_id", "spans")
     written = lambda keep: F.array_join(F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

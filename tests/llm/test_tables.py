@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowdex.llm import mixing, quality_model, simhash
+from sparrowdex.llm import mixing, pieces, quality_model, secrets, simhash
 
 
 def water_fill(sizes, weights):
@@ -32,11 +32,13 @@ def test_permutation(spark):
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 7)
     rng = random.Random(1)
-    sources = ["b", "a", "é", None, "tiny", "\U0001f600", "￿"]
+    sources = ["b", "a", "é", None, "", "null", "\x00null", "tiny", "\U0001f600", "￿"]
     rows = [(k, " ".join(["w"] * rng.randrange(0, 400)), "tiny" if k == 5 else rng.choice([s for s in sources if s != "tiny"] + ["b"] * 6)) for k in range(150)]
     rows[5] = (5, "w " * 90, "tiny")
     rows += [(200, None, "a"), (7, rows[7][1], rows[7][2]), (7, rows[7][1], rows[7][2]), (None, "x y z", "b"), (201, "long " * 50_000, "a"), (202, "", "void")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("row", "doc", "id", "h", "size", "block", "_b", "_p_x"):  # columns named like ours
+        df = df.withColumn(c, F.lit(1))
     df.write.mode("overwrite").parquet(path := spark.conf.get("spark.checkpoint.dir") + "/mix/documents.parquet")
     got = mixing.op3_source_mix(spark, path.rsplit("/", 1)[0]).collect()
     assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in got)
@@ -63,11 +65,27 @@ def test_mix_of_nothing(spark):
     assert sorted(tuple(r) for r in mixing.op3_source_mix(spark, path).select("doc_id", "size", "target", "taken").collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
 
 
-def test_slots_take_each_block_once_a_pass(spark):
-    goal = mixing.targets(spark.createDataFrame([("a", 1000), ("b", 300), ("c", 5000)], "source string, source_size long"))
-    out = mixing.slots(spark, mixing.plan(goal)).collect()
-    assert len({(r["shard"], r["place"]) for r in out}) == len(out)
+def test_slots_take_each_block_once_a_pass(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 16)
+    monkeypatch.setattr(mixing, "RANGE", 32)
+    monkeypatch.setattr(mixing, "RUN", 2)
+    goal = mixing.targets(spark.createDataFrame([("a", 1000), ("b", 3000), (None, 50_000), ("", 700)], "source string, source_size long"))
+    plan = mixing.plan(goal)
+    want = {r["source"]: r["n_slots"] for r in plan.collect()}
+    out = mixing.slots(spark, plan).collect()
+    total = sum(want.values())
+    assert sorted(r["shard"] * 16 + r["place"] for r in out) == list(range(total))
+    assert Counter(r["source"] for r in out) == want
     assert max(Counter((r["source"], r["pass"], r["block"]) for r in out).values()) == 1
+    # draws with replacement: shard counts scatter as multinomial ones do, and few slots are not as drawn
+    drawn = {r["slot"]: r["source"] for r in mixing.draws(spark, plan, total).collect()}
+    assert len(drawn) == total
+    assert sum(drawn[r["shard"] * 16 + r["place"]] != r["source"] for r in out) <= 4 * total**0.5
+    p = want[None] / total
+    of = Counter(s // 16 for s, x in drawn.items() if x is None and s < total // 16 * 16)
+    counts = np.array([of[k] for k in range(total // 16)])
+    assert abs(counts.mean() - 16 * p) < 4 * (16 * p * (1 - p) / len(counts)) ** 0.5
+    assert 0.6 < counts.var() / (16 * p * (1 - p)) < 1.5
 
 
 def test_label_model_and_scorer():
@@ -107,34 +125,96 @@ def test_classifier_decides_on_short_texts(spark):
     assert n[0, False] >= 2 * n.get((0, True), 0) and n.get((1, False), 0) <= 0.02 * n[1, True]
 
 
-def test_pipeline(spark):
+CLASHES = ["doc", "row", "key", "head", "n", "h", "id", "blob", "spans", "words", "new", "runs", "quality_score", "quality_kept", "_n", "_h", "_words", "_blob", "_spans", "ids", "n_tokens", "a.b"]
+
+
+def pipeline_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 1000))
+    odd = spark.createDataFrame([(None, "one text of its own about a river and the sea, password = 'hunter2hunter2' and more of it", None, None), (5000, "", "en", ""), (5000, "one id, two texts: the garden of the house lies by the river in the sun", None, "")], "doc_id long, text string, lang string, source string")
+    docs = docs.unionByName(odd.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
+    for k, c in enumerate(CLASHES):
+        docs = docs.select("*", F.lit(k).alias(c))
+    return docs
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Each stage against plain Python on what its predecessor wrote, with columns named like those that stages use."""
     cp = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60)
-    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 1000))
-    columns, seen = docs.columns, [docs.count()]
-    for k, (name, stage) in enumerate(cp.STAGES):
-        out = spark.conf.get("spark.checkpoint.dir") + f"/test-pipeline-{k}"
-        stage(spark, docs, d).write.mode("overwrite").parquet(out)
-        docs = spark.read.parquet(out)
-        seen.append(docs.count())
-        if k + 1 < len(cp.STAGES):
-            assert docs.columns == columns, name
-        if name == "near_dedup":
-            assert docs.count() == docs.select("doc_id").distinct().count()
-            kept = docs.cache()
-            kept.count()
-        if name == "source_mix":
-            # every row of the mix is a run of a document's words, and no document is taken more than three times
-            source = {r["doc_id"]: (r["text"] or "") for r in spark.read.parquet(spark.conf.get("spark.checkpoint.dir") + "/test-pipeline-2").collect()}
-            n = Counter()
-            for r in docs.collect():
-                words = r["text"].split()
-                n[r["doc_id"]] += len(words)
-                have = Counter(source[r["doc_id"]].split())
-                assert not Counter(words) - have
-            assert all(v <= 3 * len(source[i].split()) for i, v in n.items())
-    assert seen[1] <= seen[0] and seen[2] < seen[1] and docs.where("NOT exact").count() == 0
+    docs = pipeline_documents(spark)
+    columns, folder = docs.columns, spark.conf.get("spark.checkpoint.dir") + "/test-pipeline"
+    rows = [docs.collect()]
+    for name, stage in cp.STAGES:
+        stage(spark, docs, d).write.mode("overwrite").parquet(f"{folder}-{name}")
+        docs = spark.read.parquet(f"{folder}-{name}")
+        rows.append(docs.collect())
+        assert name == "sentencepiece" or docs.columns == columns, name
+        for k, c in enumerate(CLASHES):
+            at = c + "_before" if name == "sentencepiece" and c in ("id", "ids", "n_tokens") else c
+            assert {r[at] for r in rows[-1]} <= {k}, (name, c)
+    start, kept, heads, clean, mix, encoded = rows
+    key = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"])
+    # quality: by the classifier's own verdicts, text by text
+    verdict = {r["text"]: r["quality_kept"] for r in quality_model.classified(spark.createDataFrame([(r["doc_id"], r["text"]) for r in start], "doc_id long, text string")).collect()}
+    assert Counter(map(key, kept)) == Counter(key(r) for r in start if verdict[r["text"]])
+    # near-dedup: groups by all pairs of fingerprints
+    order = sorted(kept, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    fps = [simhash.simhash((r["text"] or "").encode()) for r in order]
+    group = list(range(len(order)))
+    for i in range(len(order)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    assert len(heads) == len(set(group))
+    assert Counter(r["doc_id"] for r in heads) == Counter(order[g]["doc_id"] for g in set(group)) and not Counter(map(key, heads)) - Counter(map(key, kept))
+    # secrets: cut out one by one
+    def redacted(text):
+        if text is None:
+            return None
+        merged = []
+        for a, b in sorted((a, b) for _, a, b in secrets.scan_text(text)):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in reversed(merged):
+            text = text[:a] + "[secret]" + text[b:]
+        return text
+
+    want = [(r["doc_id"], redacted(r["text"]), r["lang"], r["source"]) for r in heads]
+    assert Counter(map(key, clean)) == Counter(want) and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in clean)
+    # the mix: each row is words of its document, each source near its target, no document more than three times
+    sizes, took, words = Counter(), Counter(), Counter()
+    for r in clean:
+        sizes[r["source"]] += len((r["text"] or "").split())
+        words[r["doc_id"], r["source"]] += len((r["text"] or "").split())
+    for r in mix:
+        n = len(r["text"].split())
+        took[r["source"]] += n
+        have = [Counter(x["text"].split()) for x in clean if x["doc_id"] == r["doc_id"] and x["text"]]
+        assert any(not Counter(r["text"].split()) - h for h in have) and r["n_chars"] == len(r["text"])
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None] * (None in sizes)
+    goal = water_fill({s: sizes[s] for s in names if sizes[s]}, {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)})
+    assert all(abs(took[s] - goal[s]) <= mixing.BLOCK for s in goal)
+    by = Counter()
+    for r in mix:
+        by[r["doc_id"], r["source"]] += len(r["text"].split())
+    assert all(n <= 3 * words[k] for k, n in by.items())
+    # ids: those of the segmenter, text by text
+    import public_tokenizers
+
+    m = pieces.model(public_tokenizers.path("piece_bpe_32k.model"))
+    plain = Counter((r["doc_id"], r["text"], tuple(m.encode(r["text"]).tolist())) for r in mix)
+    assert Counter((r["doc_id"], r["text"], tuple(r["ids"])) for r in encoded) == plain and all(r["exact"] for r in encoded)
+    assert len(heads) < len(kept) < len(start)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    cp = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, f"file://{tmp_path}").count() == 0
 
 
 def test_near_dedup_keeps_one_row_of_each_group(spark):

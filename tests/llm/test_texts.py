@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from sparrowdex.llm import pieces, quality_rules, secrets, substrings, tokenfile, toxicity
 
 P = pytest.importorskip("public_tokenizers")
@@ -28,20 +30,45 @@ def test_secret_base():
         assert (*counts, hashlib.sha256(written.encode()).hexdigest()) == secrets.brute_base(t)
 
 
-def test_secret_ledger_scans_each_blob_once(spark):
-    docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate([*SECRETS, *SECRETS])], "doc_id long, text string, spans string")
-    first = secrets.scan_unseen(docs).cache()
-    assert first.count() == len({t or "" for t in SECRETS})
-    assert secrets.scan_unseen(docs, first).count() == 0
-    later = docs.union(spark.createDataFrame([(99, "new token=abcdefgh", "c")], docs.schema))
-    assert secrets.scan_unseen(later, first).count() == 1
-    got = {r["doc_id"]: len(r["spans"]) for r in secrets.findings_by_path(docs, first).collect()}
+def test_secret_ledger_scans_each_blob_once(spark, tmp_path):
+    docs = spark.createDataFrame([(k, t, "c", 7) for k, t in enumerate([*SECRETS, *SECRETS])], "doc_id long, text string, spans string, blob int")
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    distinct = len({t or "" for t in SECRETS})
+    assert not ledger.holds() and ledger.findings().count() == 0
+    assert ledger.update(docs).read().count() == distinct  # written and read back
+    assert ledger.update(docs).read().count() == distinct  # nothing new
+    later = docs.union(spark.createDataFrame([(99, "new token=abcdefgh", "c", 7)], docs.schema))
+    assert secrets.scan_unseen(later, ledger.read()).count() == 1
+    assert secrets.Ledger(spark, ledger.folder).update(later).read().count() == distinct + 1
+    found = secrets.findings_by_path(docs, ledger)
+    assert found.select("doc.*").columns == ["doc_id", "spans", "blob"]
+    got = {r["id"]: r["n"] for r in found.select(F.col("doc.doc_id").alias("id"), F.size("spans").alias("n")).collect()}
     assert got == {k: len(secrets.scan_text(t or "")) for k, t in enumerate([*SECRETS, *SECRETS])}
     assert secrets.scan_unseen(docs.limit(0)).count() == 0
-    cut = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    cut = secrets.redact(docs, ledger)
+    assert cut.columns == docs.columns and {(r["spans"], r["blob"]) for r in cut.collect()} == {("c", 7)}
+    cut = {r["doc_id"]: r["text"] for r in cut.collect()}
     assert "hunter2" not in cut[0] and cut[7] is None and cut[6] == "" and cut[8].startswith("xxx") and cut[8].count("[secret]") == 1
 
 
+def test_another_rule_version_scans_anew(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "plain")], "doc_id long, text string")
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger").update(docs)
+    monkeypatch.setattr(secrets, "RULE_VERSION", 2)
+    assert not ledger.holds() and ledger.findings().count() == 0
+    assert ledger.update(docs).read().groupBy("rule_version").count().orderBy("rule_version").collect() == [(1, 2), (2, 2)]
+
+
+def test_op2_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = secrets.op2_secret_scan(spark, d).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == secrets.brute_base(texts[r["doc_id"]])
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.scan_text(texts[r["doc_id"]] or ""))
+
+
 # -- substring dedup
 
 def brute_removed(docs):
