@@ -24,11 +24,15 @@ def permuted(index: Column, n: Column, salt: Column, inverse: bool = False) -> C
     """
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
 
-    def step(x: Column, r: Column) -> Column:
-        partner = F.pmod(F.pmod(F.xxhash64(salt, r, F.lit(SEED)), n) - x, n)
-        return F.when(F.xxhash64(salt, r, F.greatest(x, partner)).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
+    def shuffled(key: Column) -> Column:
+        def step(x: Column, r: Column) -> Column:
+            partner = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
+            return F.when(F.xxhash64(key, r, F.greatest(x, partner)).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
 
-    return F.aggregate(rounds, index.cast("long"), step)
+        return F.aggregate(rounds, index.cast("long"), step)
+
+    # a lambda's variable: the salt is hashed once, not in each round
+    return F.element_at(F.transform(F.array(F.xxhash64(salt, F.lit(SEED))), shuffled), 1)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
@@ -138,7 +142,7 @@ def slots(spark, spread: DataFrame) -> DataFrame:
     size = spread.select("source", "blocks", "n_slots", "last_words")
     s = s.join(size, same(s, size)).select(s["slot"], s["source"], "rank", "blocks", "n_slots", "last_words", F.expr("rank div blocks").alias("pass"))
     salt = F.concat(F.lit("b"), F.coalesce(F.col("source"), F.lit("")), F.col("pass").cast("string"))
-    s = s.withColumn("block", permuted(F.expr("rank % blocks"), F.col("blocks"), F.xxhash64(salt)))
+    s = s.withColumn("block", permuted(F.expr("rank % blocks"), F.col("blocks"), salt))
     words = F.when(F.col("rank") == F.col("n_slots") - 1, F.col("last_words")).otherwise(F.lit(BLOCK))
     return s.select(F.expr(f"slot div {SHARD}").alias("shard"), F.expr(f"slot % {SHARD}").alias("place"), "source", "block", "pass", words.alias("words"))
 
