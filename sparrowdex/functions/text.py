@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 import unicodedata
 
@@ -13,20 +14,39 @@ from pyspark.sql import types as T
 
 #: A token is a run of letters and digits.
 TOKEN = r"[\p{L}\p{N}]+"
-# Accented letters and what they fold to.
-ACCENTED = "äöüàáâãåçèéêëìíîïñòóôõùúûýÿ"
-PLAIN = "aouaaaaaceeeeiiiinoooouuuyy"
+def _folds() -> tuple[str, str]:
+    """Lower-case letters with marks of the Latin, Greek and Cyrillic blocks and what is left of them without; letters with a stroke or the like; combining marks, which go."""
+    pairs: dict[str, str] = {}
+    for k in (*range(0xDF, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        c = chr(k)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(base) == 1 and base != c and c == c.lower() and c.isalpha():
+            pairs[c] = base
+    pairs |= dict(zip("øłđħŧıŋſ", "oldhtins", strict=True))
+    return "".join(pairs) + "".join(chr(k) for k in range(0x300, 0x370)), "".join(pairs.values())
+
+
+ACCENTED, PLAIN = _folds()
+# Letters that fold to two.
+DOUBLE = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"))
+_FOLD = dict(zip(ACCENTED, (*PLAIN, *[""] * (len(ACCENTED) - len(PLAIN))), strict=True))
 # Control and format characters that cleaning drops.
 DROPPED = r"[\x00-\x08\x0B\x0C\x0E-\x1F​-‍﻿�]"
 
 
 def fold(c: Column) -> Column:
     """Lower case without accents."""
-    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
+    out = F.lower(c)
+    for a, b in DOUBLE:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.translate(out, ACCENTED, PLAIN)
 
 
 def fold_str(s: str) -> str:
-    return s.lower().replace("ß", "ss").translate(str.maketrans(ACCENTED, PLAIN))
+    out = s.lower()
+    for a, b in DOUBLE:
+        out = out.replace(a, b)
+    return out.translate(str.maketrans(_FOLD))
 
 
 def tokens(c: Column) -> Column:
@@ -91,13 +111,8 @@ def chunk_position(i: Column, n: Column) -> Column:
 # -- normalisation of extracted content -------------------------------------------------------------------------------------------
 
 _ENTITY = re.compile(r"&(#[xX]?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
-# Named entities that are decoded.
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "euro": "€",
-    "pound": "£", "yen": "¥", "cent": "¢", "sect": "§", "para": "¶", "deg": "°", "plusmn": "±", "micro": "µ", "middot": "·", "hellip": "…",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "auml": "ä", "ouml": "ö",
-    "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß",
-}
+# Named entities that are decoded: those of HTML 4, from the standard library's table, and apos.
+ENTITIES = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f‌‍�]")
 _BLANKS = re.compile("[   -​  　﻿]")

@@ -75,72 +75,145 @@ def lengths(docs: DataFrame, fields: dict[str, Column], lemmas: bool = False) ->
 # -- storage -----------------------------------------------------------------------------------------------------------------------
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed this version first: open the new one and try again."""
+
+
 class Store:
-    """Index versions below one folder. A version is written whole, then named in the pointer table; readers keep the version they opened."""
+    """Index versions below one folder. A version is a list of segments; readers keep the version they opened.
+
+    A change writes one new segment: its documents and postings, and the keys that it takes out of older segments. So it costs what it brings, not
+    the index. After MOST_SEGMENTS a commit merges them. A version's pointer file is created under its number, which fails if it is there already, so of
+    two writers one gets a Conflict.
+    """
+
+    MOST_SEGMENTS = 16
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self) -> list:
-        try:
-            rows = self.spark.read.json(f"{self.folder}/versions").orderBy(F.desc("number")).limit(1).collect()
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return []
-        return rows
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _numbers(self) -> list[int]:
+        fs, p = self._at(f"{self.folder}/versions")
+        return sorted(int(x.getPath().getName()[:-5]) for x in fs.listStatus(p) if x.getPath().getName().endswith(".json")) if fs.exists(p) else []
 
-    def version(self) -> dict | None:
-        rows = self._pointer()
-        return rows[0].asDict() if rows else None
+    def version(self, number: int | None = None) -> dict | None:
+        """What the pointer of a version says, of the last one by default."""
+        numbers = self._numbers()
+        if not numbers:
+            return None
+        return json.loads(self.spark.read.text(f"{self.folder}/versions/{number or numbers[-1]:012d}.json", wholetext=True).first()[0])
 
     def needs_rebuild(self) -> bool:
         """A version that another schema version wrote, or none, must be built anew."""
         v = self.version()
         return v is None or v["schema_version"] != SCHEMA_VERSION
 
-    def commit(self, index: Index, note: str = "commit", files: int | None = None) -> int:
-        number = (self.version() or {"number": 0})["number"] + 1
-        name = f"{self.folder}/v{number}-{uuid.uuid4().hex[:8]}"
-        docs, postings = index.documents, index.postings
-        if files:
-            docs, postings = docs.repartition(files, KEY), postings.repartition(files, "field", "term")
-        docs.write.parquet(f"{name}/documents")
-        # a term's rows lie together within files, so that its row groups alone are read
-        postings.sortWithinPartitions("term", KEY).write.partitionBy("field").parquet(f"{name}/postings")
-        line = json.dumps({"number": number, "path": name, "schema_version": SCHEMA_VERSION, "note": note, "tables": json.dumps([docs.schema.jsonValue(), postings.schema.jsonValue()])})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/versions")
+    def _write(self, index: Index | None, deletes: DataFrame | None = None, files: int | None = None) -> dict:
+        """A segment in a folder of its own."""
+        out = {"path": f"{self.folder}/s-{uuid.uuid4().hex}", "tables": None, "deletes": None}
+        if index is not None:
+            docs, postings = index.documents, index.postings
+            if files:
+                docs, postings = docs.repartition(files, KEY), postings.repartition(files, "field", "term")
+            docs.write.parquet(f"{out['path']}/documents")
+            # a term's rows lie together within files, so that its row groups alone are read
+            postings.sortWithinPartitions("term", KEY).write.partitionBy("field").parquet(f"{out['path']}/postings")
+            out["tables"] = [docs.schema.jsonValue(), postings.schema.jsonValue()]  # an empty table has no files to tell its schema
+        if deletes is not None:
+            deletes.select(KEY).distinct().write.parquet(f"{out['path']}/deletes")
+            out["deletes"] = deletes.select(KEY).schema.jsonValue()
+        return out
+
+    def _point(self, segments: list[dict], note: str, number: int) -> int:
+        line = json.dumps({"number": number, "schema_version": SCHEMA_VERSION, "note": note, "segments": segments})
+        fs, p = self._at(f"{self.folder}/versions/{number:012d}.json")
+        try:
+            f = fs.create(p, False)
+        except Exception as e:
+            if fs.exists(p):
+                raise Conflict(f"version {number} exists") from e
+            raise
+        f.write(bytearray(line.encode()))
+        f.close()
         return number
 
-    def open(self) -> Index:
+    def _next(self) -> tuple[int, list[dict]]:
         v = self.version()
+        return (v["number"] + 1, v["segments"]) if v else (1, [])
+
+    def commit(self, index: Index, note: str = "commit", files: int | None = None) -> int:
+        """A version of this index alone, in one segment."""
+        number, _ = self._next()
+        return self._point([self._write(index, None, files)], note, number)
+
+    def _open(self, segments: list[dict]) -> Index:
+        docs = postings = gone = None
+        for k, s in enumerate(segments):
+            if s["tables"]:
+                d, p = (self.spark.read.schema(StructType.fromJson(t)).parquet(f"{s['path']}/{n}").withColumn("_segment", F.lit(k)) for t, n in zip(s["tables"], ("documents", "postings"), strict=True))
+                docs, postings = (d, p) if docs is None else (docs.unionByName(d, allowMissingColumns=True), postings.unionByName(p))
+            if s["deletes"]:
+                x = self.spark.read.schema(StructType.fromJson(s["deletes"])).parquet(f"{s['path']}/deletes").withColumn("_until", F.lit(k))
+                gone = x if gone is None else gone.unionByName(x)
+        if gone is not None:  # rows of segments before the last one that takes their key out
+            gone = gone.groupBy(KEY).agg(F.max("_until").alias("_until"))
+            docs, postings = (t.join(gone, KEY, "left").where("_until IS NULL OR _segment >= _until").drop("_until") for t in (docs, postings))
+        return Index(docs.drop("_segment"), postings.drop("_segment"))
+
+    def open(self, number: int | None = None) -> Index:
+        v = self.version(number)
         if v is None:
             raise FileNotFoundError(f"No index in {self.folder}")
-        docs, postings = (StructType.fromJson(x) for x in json.loads(v["tables"]))  # an empty table has no files to tell its schema
-        return Index(self.spark.read.schema(docs).parquet(f"{v['path']}/documents"), self.spark.read.schema(postings).parquet(f"{v['path']}/postings"))
+        return self._open(v["segments"])
+
+    def apply(self, docs: DataFrame | None = None, keys: DataFrame | None = None, lemmas: bool = True, note: str = "apply") -> int:
+        """One commit that takes out `keys` and replaces documents by key or adds them (the last of equal keys in `docs` by all columns wins)."""
+        fresh = gone = None
+        if docs is not None:
+            order = W.partitionBy(KEY).orderBy(*[F.desc(c) for c in docs.columns if c != KEY])
+            new = docs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+            fresh, gone = build(new, lemmas), docs.select(KEY)
+        if keys is not None:
+            gone = keys.select(KEY) if gone is None else gone.unionByName(keys.select(KEY))
+        number, segments = self._next()
+        if not segments and fresh is None:
+            raise FileNotFoundError(f"No index in {self.folder}")
+        segments = [*segments, self._write(fresh, gone if segments else None)]
+        if len(segments) > self.MOST_SEGMENTS:
+            segments = [self._write(self._open(segments))]
+        return self._point(segments, note, number)
 
     def upsert(self, docs: DataFrame, lemmas: bool = True) -> int:
-        """Replaces documents by key (the last of equal keys in `docs` by all columns wins) and adds new ones."""
-        order = W.partitionBy(KEY).orderBy(*[F.desc(c) for c in docs.columns if c != KEY])
-        new = docs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-        fresh = build(new, lemmas)
-        if self.version() is None:
-            return self.commit(fresh, "upsert")
-        old, keys = self.open(), new.select(KEY)
-        return self.commit(Index(old.documents.join(keys, KEY, "left_anti").unionByName(fresh.documents, allowMissingColumns=True), old.postings.join(keys, KEY, "left_anti").unionByName(fresh.postings)), "upsert")
+        return self.apply(docs, None, lemmas, "upsert")
 
     def delete(self, keys: DataFrame) -> int:
-        old = self.open()
-        return self.commit(Index(old.documents.join(keys.select(KEY), KEY, "left_anti"), old.postings.join(keys.select(KEY), KEY, "left_anti")), "delete")
+        return self.apply(None, keys, note="delete")
 
     def purge(self) -> int:
         old = self.open()
         return self.commit(Index(old.documents.limit(0), old.postings.limit(0)), "purge")
 
     def compact(self, files: int = 1) -> int:
-        """Rewrites the current version into `files` files a table."""
+        """Merges the current version's segments into one, of `files` files a table."""
         return self.commit(self.open(), "compact", files)
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes all but the last `keep` versions, and the segments that no version left names. Returns how many segments went."""
+        numbers = self._numbers()
+        kept = {s["path"].rsplit("/", 1)[-1] for n in numbers[-keep:] for s in self.version(n)["segments"]}
+        for n in numbers[:-keep]:
+            fs, p = self._at(f"{self.folder}/versions/{n:012d}.json")
+            fs.delete(p, False)
+        fs, p = self._at(self.folder)
+        old = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("s-") and x.getPath().getName() not in kept]
+        for x in old:
+            fs.delete(x, True)
+        return len(old)
+
     def status(self) -> dict:
         v = self.version()
-        return {"version": v["number"], "documents": self.open().documents.count(), "schema_version": v["schema_version"], "note": v["note"]} if v else {"version": 0, "documents": 0}
+        return {"version": v["number"], "documents": self.open().documents.count(), "segments": len(v["segments"]), "schema_version": v["schema_version"], "note": v["note"]} if v else {"version": 0, "documents": 0, "segments": 0}

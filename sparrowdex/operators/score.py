@@ -107,7 +107,7 @@ def compile(index: Index, node: q.Node) -> DataFrame:
 
 
 def _bool(index: Index, node: q.Bool) -> DataFrame:
-    """All clauses in one aggregation: scores add up, and a bit per clause tells which matched."""
+    """All clauses in one aggregation: scores add up, and counts by kind of clause tell whether enough matched."""
     clauses = [*node.must, *node.should, *node.must_not]
     if not clauses:
         return index.documents.limit(0).select(KEY, F.lit(0.0).alias("score"))
@@ -116,15 +116,15 @@ def _bool(index: Index, node: q.Bool) -> DataFrame:
         return index.documents.limit(0).select(KEY, F.lit(0.0).alias("score"))
     rows = None
     for k, c in enumerate(clauses):
-        counts = k < n_must + n_should
-        one = compile(index, c).select(KEY, (F.col("score") if counts else F.lit(0.0)).alias("score"), F.lit(1 << k).cast("long").alias("bit"))
+        kind = "must" if k < n_must else "should" if k < n_must + n_should else "never"
+        one = compile(index, c).select(KEY, (F.col("score") if kind != "never" else F.lit(0.0)).alias("score"), F.lit(kind).alias("kind"))
         rows = one if rows is None else rows.unionByName(one)
-    must, should, never = (1 << n_must) - 1, ((1 << n_should) - 1) << n_must, ((1 << len(node.must_not)) - 1) << (n_must + n_should)
-    g = rows.groupBy(KEY).agg(F.sum("score").alias("score"), F.bit_or("bit").alias("bits"))
-    bits = F.col("bits")
-    ok = (bits.bitwiseAND(F.lit(must)) == must) & (bits.bitwiseAND(F.lit(never)) == 0)
+    # each clause gives a document one row at most, so counts tell how many clauses matched: any number of them
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    g = rows.groupBy(KEY).agg(F.sum("score").alias("score"), count("must"), count("should"), count("never"))
+    ok = (F.col("must") == n_must) & (F.col("never") == 0)
     if not n_must:
-        ok = ok & (bits.bitwiseAND(F.lit(should)) != 0)
+        ok = ok & (F.col("should") > 0)
     return g.where(ok).select(KEY, "score")
 
 

@@ -52,7 +52,7 @@ _MIME = {"txt": "text/plain", "md": "text/markdown", "rst": "text/x-rst", "html"
 def extract_bytes(path: str, data: bytes, extractors=None) -> tuple[str, dict[str, str], str]:
     """(content, metadata, type) of one file. Plain text, HTML, mail, RTF and zipped XML formats by the standard library; `extractors` adds others by extension.
 
-    A format without an extractor gives no content.
+    A format without an extractor is an error, so that its files are not taken for empty ones.
     """
     import io
     import zipfile
@@ -84,6 +84,8 @@ def extract_bytes(path: str, data: bytes, extractors=None) -> tuple[str, dict[st
             content = "\n".join(tx.html_text(re.sub(r"</(?:w:p|a:p|text:p|text:h|row)>", "\n", x)) for x in xml)
             core = next((z.read(n).decode("utf-8", "replace") for n in ("docProps/core.xml", "meta.xml") if n in z.namelist()), "")
         meta = {k: m[1] for k in ("title", "creator", "subject") if (m := re.search(rf"<dc:{k}[^>]*>([^<]+)<", core))}
+    else:
+        raise ValueError(f"no extractor for .{ext}")
     return tx.normalize_str(content), {k: v for k, v in meta.items() if v}, kind
 
 

@@ -35,10 +35,8 @@ def apply_batch(store: Store, events: DataFrame, load: Callable[[DataFrame], Dat
         full = docs.where("length(trim(text)) > 0")
         gone = last.where(F.col("type") == DELETED).select(F.col("path").alias("doc_id")).union(changed.join(full.select("doc_id"), "doc_id", "left_anti"))
         n, m = full.count(), gone.count()
-        if m and store.version():
-            store.delete(gone)
-        if n:
-            store.upsert(full)
+        if n or m and store.version():  # one commit: no reader sees the deletions without the changes
+            store.apply(full if n else None, gone if m else None, note="batch")
         return {"upserted": n, "deleted": m}
     finally:
         last.unpersist()

@@ -26,6 +26,11 @@ def test_normalisation():
     assert tx.normalize_str(None) == ""
 
 
+def test_folding_of_other_letters(spark):
+    for raw, want in (("Århus Łódź ĳ", "arhus lodz ĳ"), ("Škoda Žižek Ő ș", "skoda zizek o s"), ("Ærø Œuvre Þór Straße", "aero oeuvre thor strasse"), ("e\u0301tude ά й", "etude α и"), ("naïve ﬁ", "naive ﬁ")):
+        assert tx.fold_str(raw) == want and one(spark, raw, tx.fold) == want
+
+
 def test_extension_and_chunks(spark):
     for path, want in (("/a/b.TXT", "txt"), ("/a/.hidden", None), ("/a/b.", None), ("/a.b/c", None)):
         assert one(spark, path, tx.file_extension) == want
