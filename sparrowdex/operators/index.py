@@ -72,6 +72,18 @@ def lengths(docs: DataFrame, fields: dict[str, Column], lemmas: bool = False) ->
     return docs.select(F.explode(pairs).alias("f")).select("f.*").where("dl > 0")
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); on one machine without such a setting, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="sparrowdex-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 # -- storage -----------------------------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import facets, index, observe, passages, score, semantic
+from ..operators import facets, index, observe, passages, score, search, semantic
 from ..operators import query as q
 from ..operators.filters import Fields, Filter, combined, predicate
 from ..sources import ingest, metadata
@@ -43,6 +43,13 @@ def ranked(idx: index.Index, text: str, top: int | None = None, where: str = "tr
     return out.orderBy(F.desc("score"), "doc_id").limit(top) if top else out
 
 
+def stored(spark, d, *extra: str) -> index.Store:
+    """The same index, written to a fresh folder."""
+    store = index.Store(spark, index.workspace(spark, "index"))
+    store.commit(corpus(spark, d, *extra))
+    return store
+
+
 FOLDED = "strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss'))"
 TOKS = rf"toks AS (SELECT doc_id, lang, source, n_chars, regexp_extract_all({FOLDED}, '[\p{{L}}\p{{N}}]+') AS t FROM documents)"
 POST = f"""{TOKS}, st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM toks WHERE len(t) > 0),
@@ -82,9 +89,11 @@ def bm25_required(spark, d):
     return ranked(corpus(spark, d), "+the and of")
 
 
-@query("SELECT doc_id, n_chars, lang FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 20")
+@query("SELECT doc_id, n_chars, lang FROM documents ORDER BY coalesce(n_chars, 0) DESC, doc_id LIMIT 10 OFFSET 20")
 def match_all_sorted_page(spark, d):
-    return read(spark, d, "documents").select("doc_id", "n_chars", "lang").orderBy(F.desc("n_chars"), "doc_id").offset(20).limit(10)
+    idx = corpus(spark, d)
+    rows = idx.documents.join(score.compile(idx, q.rewrite(q.parse("*"))), "doc_id").select("doc_id", "n_chars", "lang", "score")
+    return search.Engine(idx).ordered(rows, "n_chars").offset(20).limit(10).select("doc_id", "n_chars", "lang")
 
 
 _PH = f"""WITH {POST}, a AS (SELECT doc_id, dl, max(ps) FILTER (term = 'of') AS p, max(ps) FILTER (term = 'the') AS r FROM post WHERE term IN ('of', 'the') GROUP BY ALL HAVING count(*) = 2),
@@ -168,11 +177,10 @@ def multifield_lemmas(spark, d):
     return score.compile(idx, node).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT lang, count(*) AS n, round(0.3 + 0.7 * count(*) / (SELECT count(*) FROM documents), 6) AS boost FROM documents GROUP BY lang")
+@query("SELECT lang, round(0.3 + 0.7 * count(*) / (SELECT count(*) FROM documents), 6) AS boost FROM documents GROUP BY lang")
 def language_boost(spark, d):
-    docs = read(spark, d, "documents")
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(docs.agg(F.count("*").alias("all")))).select("lang", "n", F.round(0.3 + 0.7 * F.col("n") / F.col("all"), 6).alias("boost"))
+    boosts = score.language_boosts(index.Index(read(spark, d, "documents"), None))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in boosts.items()], "lang string, boost double")
 
 
 @query(f"""WITH {POST}, m AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ('license', 'version')),
@@ -183,6 +191,122 @@ def explain_terms(spark, d):
     return e.select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.round("idf", 6).alias("idf"), F.round("score", 6).alias("score"), F.round("percent", 4).alias("percent"))
 
 
+# -- stored index and engine
+
+_DOCS2 = "docs2 AS (SELECT doc_id, CASE WHEN source = 'src3' THEN coalesce(text, '') || ' License renewed' ELSE text END AS text, lang, source, n_chars FROM documents WHERE lang IS NULL OR lang <> 'fr' OR source = 'src3')"
+_POST2 = POST.replace("FROM documents", "FROM docs2")
+
+
+def _changed(spark, d) -> index.Store:
+    """A stored index, then one commit that takes out French documents and replaces those of a source by others (French ones come back)."""
+    store, docs = stored(spark, d), read(spark, d, "documents")
+    new = docs.where("source = 'src3'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" License renewed")))
+    store.apply(new, docs.where("lang = 'fr'").select("doc_id"), lemmas=False)
+    return store
+
+
+@query(f"""WITH {_DOCS2}, {_POST2}, m AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ('license', 'renewed')),
+s AS (SELECT doc_id, term, {_S} AS s FROM m, st) SELECT doc_id, round(sum(s), 6) AS score FROM s GROUP BY doc_id""")
+def stored_change_search(spark, d):
+    idx = _changed(spark, d).open()
+    return score.compile(idx, q.rewrite(q.parse("license renewed"))).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_DOCS2} SELECT count(*) AS documents, 2::BIGINT AS segments, 'apply' AS note, 2::BIGINT AS version FROM docs2")
+def stored_status(spark, d):
+    s = _changed(spark, d).status()
+    return spark.createDataFrame([(s["documents"], s["segments"], s["note"], s["version"])], "documents long, segments long, note string, version long")
+
+
+@query(f"WITH {_DOCS2} SELECT doc_id, lang, length(text)::INT AS length FROM docs2")
+def stored_compacted(spark, d):
+    store = _changed(spark, d)
+    store.compact(2)
+    return store.open().documents.select("doc_id", "lang", F.length("text").alias("length"))
+
+
+@query("SELECT 0::BIGINT AS before, count(*) AS after FROM documents")
+def stored_purge_and_old_version(spark, d):
+    """A purged index is empty; the version before it can still be opened."""
+    store = stored(spark, d)
+    store.purge()
+    return spark.createDataFrame([(store.open().documents.count(), store.open(1).documents.count())], "before long, after long")
+
+
+@query(f"WITH {_DOCS2}, {_POST2} SELECT term, count(*) AS df, sum(tf)::BIGINT AS ttf FROM post GROUP BY term")
+def stored_terms(spark, d):
+    return _changed(spark, d).open().terms()
+
+
+def _page(spark, d) -> search.Page:
+    e = search.Engine(corpus(spark, d), dims=["lang", "source"])
+    return e.search("license version", [Filter("lang", "in", values=("en", "de"))], page=1, page_size=7)
+
+
+_HITS = f"""WITH {POST}, m AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ('license', 'version')),
+s AS (SELECT doc_id, 2 * sum({_S}) AS score FROM m, st GROUP BY doc_id), h AS (SELECT doc_id, score, lang, source FROM s JOIN documents USING (doc_id))"""
+
+
+@query(f"""{_HITS}, f AS (SELECT * FROM h WHERE lang IN ('en', 'de')), n AS (SELECT count(*) AS n FROM f)
+SELECT doc_id, lang, round(score, 6) AS score, n AS total_hits, ((n + 6) // 7)::BIGINT AS total_pages, 1::BIGINT AS page, n > 14 AS has_next, true AS has_previous FROM f, n ORDER BY f.score DESC, doc_id LIMIT 7 OFFSET 7""")
+def search_page(spark, d):
+    """The second page of a filtered search by the engine, with its paging."""
+    p = _page(spark, d)
+    rows = [(x["doc_id"], x["lang"], round(x["score"], 6), p.total_hits, p.total_pages, p.page, p.has_next, p.has_previous) for x in p.documents]
+    return spark.createDataFrame(rows, "doc_id long, lang string, score double, total_hits long, total_pages long, page long, has_next boolean, has_previous boolean")
+
+
+@query(f"""{_HITS} SELECT 'lang' AS dim, lang AS value, count(*) AS n FROM h WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM h WHERE lang IN ('en', 'de') AND source IS NOT NULL GROUP BY source""")
+def search_page_facets(spark, d):
+    """Facets of the same search: the filtered dimension keeps the counts of its other values."""
+    return spark.createDataFrame([(x["dim"], x["value"], x["n"]) for x in _page(spark, d).facets], "dim string, value string, n long")
+
+
+@query(f"""{_HITS}, f AS (SELECT 'lang' AS field, count(*) FILTER (lang IN ('en', 'de')) AS matches FROM h) SELECT * FROM f""")
+def search_page_filters(spark, d):
+    return spark.createDataFrame([(x["field"], x["matches"]) for x in _page(spark, d).active_filters], "field string, matches long")
+
+
+@query("SELECT doc_id, source IN ('src1', 'src2') AND doc_id % 3 <> 1 AS included FROM documents")
+def include_patterns(spark, d):
+    """Excluded folders first, then patterns of base names."""
+    ext = F.when(F.col("source").isin("src1", "src2"), "PDF").otherwise("bin")
+    path = F.concat(F.lit("/data/"), F.when(F.col("doc_id") % 3 == 1, "a/node_modules/b/").otherwise("a/"), "doc_id", F.lit("."), ext)
+    return read(spark, d, "documents").select("doc_id", ingest.should_include(path).alias("included"))
+
+
+@query("SELECT 'dbmeta_k' AS name, 'LONG' AS type, true AS faceted, count(*) AS documents FROM events WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL HAVING count(*) > 0")
+def metadata_registry(spark, d):
+    e = read(spark, d, "events")
+    payload = F.concat(F.lit('{"fields":[{"name":"k","type":"LONG","faceted":true,"value":"'), F.get_json_object("props", "$.k"), F.lit('"},{"name":"bad","type":"LONG","value":"x"},{"type":"TEXT","value":"no name"}]}'))
+    return metadata.registry(e.where(F.get_json_object("props", "$.k").isNotNull()).select(metadata.parse_fields(payload).alias("fields")))
+
+
+@query("""WITH c AS (SELECT DISTINCT user_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00')
+SELECT (SELECT count(*) FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00') AS changed, (SELECT count(*) FROM orders JOIN c ON o_custkey = user_id) AS documents, (SELECT max(ts) FROM events) AS mark""")
+def metadata_sync_summary(spark, d):
+    """Documents (orders of a customer) that events after the mark touch, and the new mark."""
+    from datetime import datetime
+
+    docs = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("user_id"))
+    _, mark, n = metadata.sync(docs, read(spark, d, "events"), datetime(2024, 1, 20), "user_id", "ts")
+    return spark.createDataFrame([(n["changed"], n["documents"], mark)], "changed long, documents long, mark timestamp").select("changed", "documents", F.col("mark").cast("timestamp_ntz").alias("mark"))
+
+
+@query("""SELECT doc_id::VARCHAR AS doc_id, CASE WHEN source = 'src5' THEN 'changed' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 4 <> 0 OR source = 'src5'""")
+def watch_batch(spark, d):
+    """A batch of change events on a stored index: deletions, then changes that come later than a deletion of the same path."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    store = index.Store(spark, index.workspace(spark, "index"))
+    fields = {"text": tx.tokens(F.col("text"))}
+    store.commit(index.Index(docs, index.build_postings(docs, fields)))
+    gone = docs.where("cast(doc_id as long) % 4 = 0").select(F.col("doc_id").alias("path"), F.lit(watch.DELETED).alias("type"), F.lit(1).cast("long").alias("seq"))
+    new = docs.where("source = 'src5'").select(F.col("doc_id").alias("path"), F.lit(watch.CHANGED).alias("type"), F.lit(2).cast("long").alias("seq"))
+    load = lambda paths: paths.join(docs.drop("text"), "doc_id").withColumn("text", F.lit("changed"))
+    watch.apply_batch(store, gone.unionByName(new), load, include=())
+    return store.open().documents.select("doc_id", "text")
+
+
 # -- filters, facets, sort
 
 ORDERS = Fields(faceted=frozenset({"o_orderstatus", "o_orderpriority"}), long=frozenset({"o_custkey"}), date=frozenset({"o_orderdate"}), string=frozenset(), analyzed=frozenset())
@@ -246,23 +370,25 @@ def facet_top100(spark, d):
     return facets.hit_facets(read(spark, d, "orders"), ["o_custkey", "o_orderpriority"])
 
 
-@query("SELECT d.doc_id, quality, n_chars FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY coalesce(quality, 0) DESC, n_chars, d.doc_id LIMIT 50")
+@query("SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY coalesce(quality, 0) DESC, d.doc_id LIMIT 50")
 def sort_metadata_tiebreak(spark, d):
-    j = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return j.select("doc_id", "quality", "n_chars").orderBy(F.desc(F.coalesce("quality", F.lit(0))), "n_chars", "doc_id").limit(50)
+    """Sorted by a metadata field: missing values count as 0, then score and key decide; an unknown metadata field falls back to the score."""
+    docs = metadata.enrich(read(spark, d, "documents").select("doc_id", F.lit(1.0).alias("score")), read(spark, d, "labels"), "doc_id", ["quality"])
+    e = search.Engine(index.Index(docs, None))
+    top = e.ordered(docs, "dbmeta_quality").limit(50).select("doc_id", F.col("dbmeta_quality").alias("quality"), F.col("dbmeta_toxic").alias("toxic"))
+    return top
 
 
 # -- term statistics and profiles
 
 @query(f"WITH {POST} SELECT term, count(*) AS df FROM post WHERE term LIKE 'th%' GROUP BY term ORDER BY df DESC, term LIMIT 20")
 def suggest_terms(spark, d):
-    t = corpus(spark, d).terms().where(F.col("term").startswith("th"))
-    return t.select("term", "df").orderBy(F.desc("df"), "term").limit(20)
+    return observe.suggest_terms(corpus(spark, d), "Th")[1]
 
 
 @query(f"WITH {POST} SELECT term, count(*) AS df FROM post GROUP BY term ORDER BY df DESC, term LIMIT 20")
 def top_terms(spark, d):
-    return corpus(spark, d).terms().select("term", "df").orderBy(F.desc("df"), "term").limit(20)
+    return observe.top_terms(corpus(spark, d))[1]
 
 
 @query(f"""WITH {POST}, n AS (SELECT count(*) AS n FROM documents), t AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS ttf FROM post WHERE term IN ('the', 'license', 'und', 'of') GROUP BY term)
@@ -300,19 +426,21 @@ def doc_count(spark, d):
 
 @query("SELECT unnest(['doc_id', 'lang', 'n_chars', 'source', 'text', 'text_translit']) AS field")
 def field_list(spark, d):
-    docs = read(spark, d, "documents")
-    return spark.createDataFrame([(n,) for n in sorted({*docs.columns, *index.token_fields(F.col("text"))})], "field string")
+    """Stored and indexed fields, read off a stored index."""
+    e = search.Engine(stored(spark, d, "text_translit").open())
+    return spark.createDataFrame([(n,) for n in e.field_names()], "field string")
 
 
 @query("SELECT doc_id, lang, substring(text, 1, 500000) AS content, length(text) > 500000 AS truncated, length(text)::INT AS original_length FROM documents WHERE doc_id = 17")
 def point_lookup(spark, d):
-    doc = read(spark, d, "documents").where("doc_id = 17")
-    return doc.select("doc_id", "lang", F.substring("text", 1, 500_000).alias("content"), (F.length("text") > 500_000).alias("truncated"), F.length("text").alias("original_length"))
+    doc = search.Engine(index.Index(read(spark, d, "documents"), None)).get(17)
+    rows = [(doc["doc_id"], doc["lang"], doc["text"], doc["truncated"], doc["original_length"])] if doc else []
+    return spark.createDataFrame(rows, "doc_id long, lang string, content string, truncated boolean, original_length int")
 
 
 @query("SELECT doc_id FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 1000")
 def lookup_by_field(spark, d):
-    return read(spark, d, "documents").where("source = 'src3'").select("doc_id").orderBy("doc_id").limit(1000)
+    return search.Engine(index.Index(read(spark, d, "documents"), None)).keys_by_field("source", "src3")
 
 
 # -- vectors
@@ -399,8 +527,7 @@ def reconcile_counts(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE lang = 'fr'")
 def orphans_anti(spark, d):
-    now, old = _listings(spark, d)
-    return old.join(now, "doc_id", "left_anti").select("doc_id")
+    return ingest.reconcile(*_listings(spark, d)).where("action = 'delete'").select("doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'es' OR (lang <> 'fr' AND source = 'src5')")
@@ -434,10 +561,15 @@ def runtime_percentiles(spark, d):
     return read(spark, d, "events").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), *p)
 
 
-@query("SELECT source AS folder, count(*) AS found, count(*) FILTER (length(trim(text)) > 0) AS indexed, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source")
+@query("""SELECT coalesce(source, 'none') AS folder, count(*) AS found, count(*) FILTER (length(trim(coalesce(text, ''), ' \t\n\r')) > 0) AS indexed, 0::BIGINT AS failed, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY ALL
+UNION ALL SELECT 'broken', count(*), 0, count(*), sum(strlen(coalesce(text, '')))::BIGINT FROM documents""")
 def crawl_stats_by_source(spark, d):
-    g = read(spark, d, "documents").groupBy(F.col("source").alias("folder"))
-    return g.agg(F.count("*").alias("found"), F.count_if(F.length(F.trim("text")) > 0).alias("indexed"), F.sum("n_chars").alias("bytes"))
+    """Documents as text files in a folder for each source, and once more as files of a format that nothing extracts."""
+    body = F.coalesce("text", F.lit("")).cast("binary").alias("content")
+    docs = read(spark, d, "documents")
+    files = docs.select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), body)
+    files = files.unionByName(docs.select(F.concat(F.lit("broken/"), "doc_id", F.lit(".xyz")).alias("path"), body)).withColumn("length", F.octet_length("content").cast("long"))
+    return ingest.crawl_statistics(files, ingest.extract(files), 1.0).select("folder", "found", "indexed", "failed", "bytes")
 
 
 # -- scalar functions
@@ -494,9 +626,16 @@ def html_extract(spark, d):
     return ingest.extract(files).select("path", "content", F.col("metadata")["title"].alias("title"), "file_type")
 
 
-@query()
+def _detected_sql() -> str:
+    words = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS lang, len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v.split())}))) AS n FROM w" for k, v in tx.PROFILE.items())
+    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(substring(coalesce(text, ''), 1, 10000)), '[\p{{L}}]+') AS w FROM documents), c AS ({words}),
+r AS (SELECT doc_id, list(lang ORDER BY n DESC, lang DESC) AS l, list(n ORDER BY n DESC, lang DESC) AS n FROM c GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n[1] >= 3 AND n[1] * 2 >= n[2] * 3 THEN l[1] END AS detected FROM r"""
+
+
+@query(_detected_sql())
 def language_detection(spark, d):
-    return read(spark, d, "documents").select("doc_id", tx.language(F.col("text")).alias("detected"))
+    return read(spark, d, "documents").select("doc_id", tx.language(F.coalesce("text", F.lit(""))).alias("detected"))
 
 
 @query()

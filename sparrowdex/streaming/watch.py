@@ -26,9 +26,9 @@ def wanted(events: DataFrame, include=INCLUDE, exclude=EXCLUDE) -> DataFrame:
     return events.where((F.col("type") == DELETED) | should_include(F.col("path"), include, exclude))
 
 
-def apply_batch(store: Store, events: DataFrame, load: Callable[[DataFrame], DataFrame]) -> dict:
+def apply_batch(store: Store, events: DataFrame, load: Callable[[DataFrame], DataFrame], include=INCLUDE, exclude=EXCLUDE) -> dict:
     """One batch: the last event of each path; contents of changed paths by `load` (paths -> documents); empty or gone ones are deleted."""
-    last = last_wins(wanted(events)).persist()
+    last = last_wins(wanted(events, include, exclude)).persist()
     changed = last.where(F.col("type") == CHANGED).select(F.col("path").alias("doc_id"))
     docs = load(changed).persist()
     try:
