@@ -14,11 +14,6 @@ from sparrowdex.llm import mixing, pieces, quality_model, secrets, simhash
 from sparrowdex.llm.common import new_folder, remove_folder, saved, table, unwrapped, whole
 
 
-def _counted(docs: DataFrame, text) -> dict:
-    """New values for text, and for n_chars if there is such a column."""
-    return {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects. Null texts and texts without words are kept."""
     rows = docs.select(whole(docs), F.col("doc_id"), F.col("text"))
@@ -53,12 +48,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     runs = took.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("doc_from", "take"))).alias("runs"), F.sum("take").alias("taken"), F.max("size").alias("size"))
     met = mixing.keyed(docs).join(runs, "row")
     text = F.col("doc.text").cast("string")
-    # only texts that are taken in part are cut into words
+    # only texts that are taken in part are cut into words; a lambda's variable is computed once, not for each run
     spaced = F.when(F.col("taken") < F.col("size"), F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    met = met.withColumn("words", F.filter(F.split(spaced, " "), lambda w: w != ""))
-    some = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("words"), (r["doc_from"] + 1).cast("int"), r["take"].cast("int")))), " ")
-    met = met.withColumn("new", F.when(F.col("taken") == F.col("size"), text).otherwise(some))
-    return unwrapped(met, docs.columns, **_counted(docs, F.col("new")))
+    cut = lambda r, words: F.slice(words, (r["doc_from"] + 1).cast("int"), r["take"].cast("int"))
+    some = F.transform(F.array(F.array_remove(F.split(spaced, " "), "")), lambda words: F.array_join(F.flatten(F.transform("runs", lambda r: cut(r, words))), " "))
+    new = F.when(F.col("taken") == F.col("size"), text).otherwise(F.element_at(some, 1))
+    met = met.withColumn("new", F.element_at(F.transform(F.array(new), lambda t: F.struct(t.alias("text"), F.length(t).cast("long").alias("n"))), 1))
+    return unwrapped(met, docs.columns, text=F.col("new.text"), **({"n_chars": F.col("new.n")} if "n_chars" in docs.columns else {}))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
