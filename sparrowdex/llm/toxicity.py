@@ -317,14 +317,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Kernel:
     """docs: id, text; labels: id, toxic (0 or 1), those to learn from. Landmarks are the words that speak most for toxic documents; the SVM is trained on sentences.
 
     A sentence of a clean document is clean; one of a toxic document counts as toxic if it has a word like a landmark. Each toxic sentence is
-    trained on once more with its words disguised. Of documents with the same text one is fitted on.
+    trained on once more with its words disguised.
     """
     order = F.xxhash64("id", F.lit(1))
     ids = labels.groupBy("id").agg(F.max("toxic").alias("toxic")).join(docs.select("id"), "id", "left_semi")
     some = ids.where("toxic = 1").orderBy(order).limit(FIT_TOXIC).union(ids.where("toxic = 0").orderBy(order).limit(FIT_CLEAN))
     some = saved(some)  # FIT_TOXIC + FIT_CLEAN ids at most: the texts stay where they are
     chosen = saved(docs.join(F.broadcast(some), "id").select("id", "text", F.col("toxic").cast("long")))
-    once = saved(chosen.dropDuplicates(["text", "toxic"]))
 
     def list_words(batches):
         for b in batches:
@@ -332,11 +331,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Kernel:
                 words = sorted({w for x in set((text or "").lower().split()) for w in words_of(x)})
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([t] * len(words), pa.int64())], ["word", "toxic"])
 
-    sizes = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
+    sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Kernel([])
-    counted = once.select("text", "toxic").mapInArrow(list_words, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    counted = chosen.select("text", "toxic").mapInArrow(list_words, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     a, b = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("n") - F.col("a") + 0.5) / (n0 + 1.0)
     z = F.log(a / b) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("n") - F.col("a") + 0.5))
     # rarely in clean documents, and far from chance
@@ -362,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Kernel:
                     yield pa.RecordBatch.from_arrays(columns, ["id", "k", "toxic", "v"])
 
     # the sentences with the smallest hashes, wherever in their documents they stand
-    heard = once.mapInArrow(list_sentences, "id long, k long, toxic long, v binary").orderBy(F.xxhash64("id", "k", "v"), "toxic").limit(FIT_SENTENCES)
+    heard = chosen.mapInArrow(list_sentences, "id long, k long, toxic long, v binary").orderBy(F.xxhash64("id", "k", "v"), "toxic").limit(FIT_SENTENCES)
     rows = [(r["toxic"], np.frombuffer(r["v"], np.float32)) for r in heard.select("toxic", "v").collect()]
     x = np.array([kernel.root @ v for _, v in rows] + [np.zeros(len(kernel.landmarks))])
     y = np.array([1.0 if t else -1.0 for t, _ in rows] + [-1.0])
