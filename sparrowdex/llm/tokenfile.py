@@ -22,8 +22,10 @@ BLOCK_IDS = 65536
 END_ID = 2
 #: Pre-tokens whose ids a worker keeps. Only a bound on memory: others are encoded again.
 CACHE = 400_000
-#: Bytes of text a file is planned to hold.
-FILE_BYTES = 16 << 20
+#: Bytes of text a file is planned to hold, and ids after which a task begins another file.
+FILE_BYTES, FILE_IDS = 16 << 20, 8 << 20
+#: Characters of a text that order rows of the same id; beyond them its hash does.
+ORDER_CHARS = 64
 
 # -- bit packing ----------------------------------------------------------------------------------------------------------------
 
@@ -178,9 +180,10 @@ def encoder(path: str) -> WordEncoder:
 
 # -- Spark --------------------------------------------------------------------------------------------------------------------
 
-WRITTEN = "file string, first_doc long, docs long, ids long"
+WRITTEN = "file string, first_doc long, first_text string, first_hash long, piece int, docs long, ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _NULL_ID = -(1 << 63)
+_LISTED = pa.schema([("file", pa.string()), ("first_doc", pa.int64()), ("first_text", pa.string()), ("first_hash", pa.int64()), ("piece", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())])
 
 
 def _open(folder: str):
@@ -190,37 +193,52 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of every text to files in `folder`, in ascending order of ids (null first), and returns the list of files (WRITTEN).
 
-    Texts are ranged by id once; each task encodes its range and writes one file under a name of its own attempt, so a task that
-    runs twice leaves a file that the list does not name. The list, one row a file, is computed once.
+    Rows of the same id, or of none, follow each other by the first ORDER_CHARS characters of their texts, then by a hash of them: however many
+    there are, many tasks share them. Texts are ranged by that order once; each task encodes its range and writes a file whenever file_ids ids
+    are there, under a name of its own attempt, so a task that runs twice leaves files that the list does not name. The list, a row a file, is computed once.
     """
 
     def run(batches):
         import os
 
-        tok, ids, lists = encoder(tokenizer), [], []
+        tok = encoder(tokenizer)
         width = width_for(max(tok.vocabulary, end_id + 1))
         end = np.array([end_id], np.uint32)
-        for b in batches:
-            ids += [_NULL_ID if x is None else x for x in b.column(0).to_pylist()]
-            texts = b.column(1)
-            for at in range(0, b.num_rows, 256):
-                some = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                small = np.uint16 if width <= 16 else np.uint32
-                lists += [np.append(x, end).astype(small) for x in tok.encode_batch(some)]
-        if ids:
-            where, path = _open(folder)
+        small = np.uint16 if width <= 16 else np.uint32
+        where, path = _open(folder)
+        piece, first, ids, lists, n_ids = 0, None, [], [], 0
+
+        def flush():
             where.create_dir(path, recursive=True)
             name = f"ids-{ids[0] + (1 << 63):020d}-{os.urandom(6).hex()}.bin"
             with where.open_output_stream(f"{path}/{name}") as f:
                 f.write(file_bytes(ids, lists, width))
-            yield pa.RecordBatch.from_pydict({"file": [name], "first_doc": [ids[0]], "docs": [len(ids)], "ids": [sum(map(len, lists))]})
+            row = {"file": name, "first_doc": ids[0], "first_text": first[0], "first_hash": first[1], "piece": piece, "docs": len(ids), "ids": n_ids}
+            return pa.RecordBatch.from_pylist([row], _LISTED)
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                if not ids:
+                    first = some.column(2)[0].as_py(), some.column(3)[0].as_py()
+                ids += [_NULL_ID if x is None else x for x in some.column(0).to_pylist()]
+                new = [np.append(x, end).astype(small) for x in tok.encode_batch([t or "" for t in some.column(1).to_pylist()])]
+                lists += new
+                n_ids += sum(map(len, new))
+                if n_ids >= file_ids:
+                    yield flush()
+                    piece, ids, lists, n_ids = piece + 1, [], [], 0
+        if ids:
+            yield flush()
 
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.substring(text, 1, ORDER_CHARS).alias("first_text"), F.xxhash64(text).alias("first_hash"))
     size = ranged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = ranged.repartitionByRange(max(1, -(-size // FILE_BYTES)), "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = [F.asc_nulls_first(c) for c in ("doc_id", "first_text", "first_hash")]
+    ordered = ranged.repartitionByRange(max(1, -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order)
     return saved(ordered.mapInArrow(run, WRITTEN))
 
 
@@ -228,7 +246,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """One row (READ) per document of the listed files, read block by block where they lie; `start` counts the ids of all documents before it."""
     from pyspark.sql.window import Window as W
 
-    before = F.coalesce(F.sum("ids").over(W.orderBy("first_doc", "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("ids").over(W.orderBy("first_doc", "first_text", "first_hash", "piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     listed = saved(files.withColumn("at", before).select("file", "at"))  # one row a file: a window over all of them is small
 
     def run(batches):
@@ -250,7 +268,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
-    """All documents through the file format. Null text: the end id alone; rows with the same doc_id follow each other by text; an empty table: no file, no rows."""
+    """All documents through the file format. Null text: the end id alone; rows with the same doc_id, or none, follow each other by text (see write_token_files); an empty table: no file, no rows."""
     import public_tokenizers
 
     folder = new_folder(spark, "token-files")
