@@ -1,13 +1,16 @@
-"""Quality rules as a bitmask ledger: measure once, store failure bits, apply versioned policies. DataFrame functions only."""
+"""Quality rules as a bitmask ledger: measure once, store failure bits, apply versioned policies. DataFrame functions only.
+
+The ledger is a table in a folder: it is written once, and policies and ablations of any version read it alone, not the texts.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_folder, table
 
 GAPS = r"[\x20\x09-\x0D]+"
 NGRAM = 8
@@ -78,6 +81,16 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured(docs, id_col, text_col).withColumn("fail_bits", bits).withColumn("ledger_version", F.lit(LEDGER_VERSION))
 
 
+def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Appends the ledger of `docs` to the table in `folder`, under LEDGER_VERSION."""
+    ledger(docs, id_col, text_col).write.mode("append").partitionBy("ledger_version").parquet(folder)
+
+
+def stored(spark: SparkSession, folder: str, version: int = LEDGER_VERSION) -> DataFrame:
+    """The ledger of one version of the rules, as stored; of no rows if nothing was stored under that version."""
+    return spark.read.parquet(folder).where(F.col("ledger_version") == version)
+
+
 def mask_of(names) -> int:
     order = [name for name, _ in RULES]
     return sum(1 << order.index(n) for n in names)
@@ -103,11 +116,32 @@ def ablations(rows: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
     )
 
 
+def gains(rows: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
+    """(bits, n_gained) for each pattern of the policy's failure bits in `rows`: how many rows it would keep besides, if it dropped these rules.
+
+    Rows are counted by pattern; each pattern's count goes to all patterns that hold its bits: 2^rules rows at most on either side.
+    """
+    mask = mask_of(POLICIES[version])
+    by_bits = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
+    holding = F.filter(F.expr(f"sequence(0L, {mask}L)"), lambda x: F.col("bits").bitwiseAND(x) == F.col("bits"))
+    held = by_bits.where("bits <> 0").select("n", F.explode(holding).alias("bits"))
+    sums = held.groupBy("bits").agg(F.sum("n").alias("n_gained"))
+    return by_bits.select("bits").join(F.broadcast(sums), "bits", "left").select("bits", F.coalesce("n_gained", F.lit(0)).cast("long").alias("n_gained"))
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """All documents under the current policy. Repeated rows each get their own row; extra columns do not matter."""
-    rows = apply_policy(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """All documents under the current policy, from a ledger that is stored first and read back for everything else.
+
+    n_gained: documents that the policy would keep besides without the rules that this one fails. A null text has no words and fails few_words;
+    null and repeated ids each get their own row; extra columns do not matter; an empty table gives no rows.
+    """
+    folder = new_folder(spark, "rule-ledger")
+    store(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    rows = apply_policy(stored(spark, folder))
+    failed = F.col("fail_bits").bitwiseAND(F.lit(mask_of(POLICIES[CURRENT_POLICY])).cast("long"))
+    rows = rows.withColumn("bits", failed).join(F.broadcast(gains(rows)), "bits")  # 2^rules rows at most
     base = F.col("fail_bits").bitwiseAND(F.lit(mask_of(BASE)).cast("long")) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "n_upper", "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "n_upper", "fail_bits", "n_gained")
 
 
 _FAILED = " + ".join(f"CASE WHEN {sql} THEN {1 << k} ELSE 0 END" for k, (_, sql) in enumerate(RULES))
@@ -124,7 +158,9 @@ m AS (
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g'))::BIGINT AS n_upper
   FROM w LEFT JOIN r USING (rid)),
-f AS (SELECT *, ({_FAILED})::BIGINT AS fail_bits FROM m)
+f AS (SELECT *, ({_FAILED})::BIGINT AS fail_bits FROM m),
+b AS (SELECT fail_bits & {mask_of(POLICIES[CURRENT_POLICY])} AS bits, count(*) AS n FROM f GROUP BY 1),
+a AS (SELECT x.bits, coalesce(sum(y.n), 0)::BIGINT AS n_gained FROM b x LEFT JOIN b y ON y.bits <> 0 AND y.bits & x.bits = y.bits GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {mask_of(BASE)}) <> 0 AS base_failed,
-       (fail_bits & {mask_of(POLICIES[CURRENT_POLICY])}) = 0 AS kept, n_lines, n_upper, fail_bits FROM f
+       (fail_bits & {mask_of(POLICIES[CURRENT_POLICY])}) = 0 AS kept, n_lines, n_upper, fail_bits, n_gained FROM f JOIN a ON a.bits = fail_bits & {mask_of(POLICIES[CURRENT_POLICY])}
 """

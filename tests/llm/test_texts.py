@@ -155,6 +155,31 @@ def test_token_files(spark, tmp_path):
     assert tokenfile.read_token_files(empty, "file://" + str(tmp_path / "g")).count() == 0
 
 
+def test_token_files_of_rows_without_an_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_BYTES", 4000)
+    rows = [(None, f"text {k % 211} " * (k % 9)) for k in range(900)] + [(7, "same"), (7, "same"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    at = "file://" + str(tmp_path / "f")
+    files = tokenfile.write_token_files(df, at, P.path("word_bpe_49k.json"))
+    null_id = -(1 << 63)
+    assert files.where(F.col("first_doc") == null_id).count() > 3 and files.agg(F.sum("docs")).first()[0] == len(rows)
+    got = tokenfile.read_token_files(files, at).orderBy("start").collect()
+    enc = tokenfile.WordEncoder(P.path("word_bpe_49k.json"))
+    crc = lambda t: zlib.crc32(np.append(enc.encode_whole(t or ""), np.uint32(2)).astype("<u4").tobytes())
+    assert sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in got) == sorted((d or 0, crc(t)) for d, t in rows)
+    ends = [0] + [r["start"] + r["n_tokens"] for r in got]
+    assert [r["start"] for r in got] == ends[:-1] and [r["doc_id"] for r in got][-2:] == [7, 7]
+
+
+def test_token_files_begin_another_file_when_full(spark, tmp_path):
+    rows = [(k, f"word {k} " * 20) for k in range(1500)]
+    at = "file://" + str(tmp_path / "f")
+    files = tokenfile.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), at, P.path("word_bpe_49k.json"), file_ids=5000)
+    assert files.count() > 3 and files.agg(F.max("piece")).first()[0] > 2
+    got = tokenfile.read_token_files(files, at).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == list(range(1500)) and got[-1]["start"] + got[-1]["n_tokens"] == sum(r["n_tokens"] for r in got)
+
+
 # -- SentencePiece
 
 @pytest.fixture(scope="module")
@@ -242,6 +267,22 @@ def test_quality_measures(spark):
     assert a["few_words"]["fails"] == rows.where("n_words < 20").count() and a["few_words"]["kept"] == rows.where("fail_bits = 0").count()
     assert a["repeats"]["fails_alone"] == rows.where("fail_bits = 2").count()
     assert quality_rules.ledger(df.limit(0)).count() == 0
+    patterns = [r["fail_bits"] for r in rows.collect()]
+    assert {r["bits"]: r["n_gained"] for r in quality_rules.gains(rows).collect()} == {b: sum(1 for x in patterns if x and x & b == x) for b in patterns}
+    assert quality_rules.gains(rows.limit(0)).count() == 0
+
+
+def test_quality_ledger_is_stored_by_version(spark, tmp_path):
+    df = spark.createDataFrame([(1, "few words", "x"), (None, None, "y"), (2, "word " * 30, "z"), (2, "word " * 30, "z")], "doc_id long, text string, bits string")
+    at = str(tmp_path / "ledger")
+    quality_rules.store(df.limit(0), at)
+    quality_rules.store(df, at)
+    held = quality_rules.stored(spark, at)
+    key = lambda r: str(sorted(r.asDict().items(), key=str))
+    assert sorted(map(key, held.collect())) == sorted(map(key, quality_rules.ledger(df).select(*held.columns).collect()))
+    assert quality_rules.stored(spark, at, 99).count() == 0
+    kept = {v: [r["doc_id"] for r in quality_rules.apply_policy(held, v).where("kept").collect()] for v in quality_rules.POLICIES}
+    assert kept == {1: [], 2: []} and quality_rules.apply_policy(held, 1).where("fail_bits = 2").count() == 2
 
 
 # -- toxicity
