@@ -19,8 +19,9 @@ FIT_DOCS = 4000
 BUCKETS = 1 << 14
 #: A document is kept if the probability that it is good is at least this.
 KEEP = 0.3
-#: Chance, at most, that a labeller calls a good document bad.
-FALSE_ALARM = 0.01
+#: What is believed beforehand of a labeller's chance to call a good document bad: its mean, and its weight in votes cast. Labellers are built to be
+#: precise; with a belief that weighs less than the votes, the model takes the class that most labellers see for the good one's exceptions.
+FALSE_ALARM, BELIEF = 0.002, 1.0
 
 # Function words of four languages, for the labeller that looks for prose.
 COMMON = frozenset(
@@ -101,31 +102,52 @@ def voted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_batches(run), "id long, votes long")
 
 
-def label_model(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
-    """Probability of good by vote pattern, by expectation-maximisation over pattern counts.
+def estimate(counts: dict[int, int], rounds: int = 500) -> tuple[dict[int, float], np.ndarray, np.ndarray, float]:
+    """Expectation-maximisation over pattern counts: probability of good by pattern; each labeller's false alarms and hits; share of good documents.
 
-    Each labeller has its own chance of calling a good document bad and a bad one good, given which labellers are independent; when it
-    abstains it says nothing. Labellers are built to be precise: a good document is called bad by each with a chance of FALSE_ALARM at most.
-    It starts from the votes, a bad one counting thrice.
+    Each labeller has its own chance of calling a good document bad (false alarm) and a bad one bad (hit), given which labellers are independent;
+    when it abstains it says nothing. Estimates are the most probable ones under a belief of FALSE_ALARM, as strong as BELIEF times the labeller's own
+    votes, and a weak one on hits and share; nothing bounds them. It starts from the votes, a bad one counting thrice.
     """
-    if not counts:
-        return {}
     m = len(LABELLERS)
+    if not counts:
+        return {}, np.full(m, FALSE_ALARM), np.full(m, 1 / 3), 0.5
     codes = np.array(sorted(counts))
     n = np.array([counts[c] for c in codes.tolist()], float)
     v = (codes[:, None] // 3 ** np.arange(m)) % 3 - 1
     bad, fine = (v < 0).astype(float), (v > 0).astype(float)
+    belief = BELIEF * ((bad + fine).T @ n) + 1
     good = 1 / (1 + np.exp(-1.5 * (fine.sum(1) - 3.0 * bad.sum(1) + 1)))
     for _ in range(rounds):
-        alarm = [((bad.T @ (n * q)) + a) / (((bad + fine).T @ (n * q)) + a + b) for q, a, b in ((good, 0.1, 10.0), (1 - good, 2.0, 4.0))]
-        alarm = np.clip(alarm[0], 1e-4, FALSE_ALARM), np.clip(alarm[1], 0.05, 0.95)
-        share = np.clip((n * good).sum() / n.sum(), 0.05, 0.95)
-        log = [bad @ np.log(x) + fine @ np.log(1 - x) for x in alarm]
+        g, b = n * good, n * (1 - good)
+        alarm = (bad.T @ g + FALSE_ALARM * belief) / ((bad + fine).T @ g + belief)
+        hit = (bad.T @ b + 1) / ((bad + fine).T @ b + 3)
+        share = (g.sum() + 1) / (n.sum() + 2)
+        log = [bad @ np.log(x) + fine @ np.log(1 - x) for x in (alarm, hit)]
         new = 1 / (1 + np.exp(np.clip(log[1] - log[0] + np.log((1 - share) / share), -50, 50)))
-        if np.abs(new - good).max() < 1e-6:
-            break
+        settled = np.abs(new - good).max() < 1e-6
         good = new
-    return dict(zip(codes.tolist(), new.tolist(), strict=True))
+        if settled:
+            break
+    return dict(zip(codes.tolist(), good.tolist(), strict=True)), alarm, hit, float(share)
+
+
+def label_model(counts: dict[int, int]) -> dict[int, float]:
+    """Probability of good by vote pattern."""
+    return estimate(counts)[0]
+
+
+def accuracies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per labeller: votes cast and bad votes over all documents, and its estimated false alarms and hits."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    counts = {r["votes"]: r["count"] for r in voted(plain).groupBy("votes").count().collect()}  # 3^labellers rows at most
+    _, alarm, hit, _ = estimate(counts)
+    said = [[(c // 3**k) % 3 - 1 for k in range(len(LABELLERS))] for c in counts]
+    rows = []
+    for k, name in enumerate(LABELLERS):
+        cast = sum(n for v, n in zip(said, counts.values(), strict=True) if v[k])
+        rows.append((name, cast, sum(n for v, n in zip(said, counts.values(), strict=True) if v[k] < 0), float(alarm[k]), float(hit[k])))
+    return docs.sparkSession.createDataFrame(rows, "labeller string, n_votes long, n_bad long, false_alarm double, hit double")
 
 
 def fit_scorer(rows: list[tuple[dict[int, float], float]], rounds: int = 60, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -191,6 +213,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """All documents with the classifier's score and verdict."""
+    """All documents with the classifier's score and verdict. Null texts and texts without words are kept; null and repeated ids and repeated texts each get
+    their own row; very long texts are read whole; extra columns do not matter; an empty table gives no rows."""
     found = classified(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"))

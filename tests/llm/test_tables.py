@@ -102,6 +102,22 @@ def test_label_model_and_scorer():
     assert quality_model.label_model({}) == {}
 
 
+def test_accuracies_are_estimated(spark):
+    """Planted labellers: votes drawn with known chances; the estimates come near them, and far from where all begin."""
+    rng = random.Random(5)
+    m, counts, alarms, hits = len(quality_model.LABELLERS), {}, [0, 0.004, 0, 0.001, 0, 0.002, 0, 0.006], [0.8, 0.3, 0.5, 0.6, 0.2, 0.7, 0.9, 0.4]
+    for k in range(40_000):
+        chance = hits if k % 8 == 0 else alarms
+        code = sum((0 if rng.random() < chance[j] else 2) * 3**j for j in range(m))
+        counts[code] = counts.get(code, 0) + 1
+    _, alarm, hit, share = quality_model.estimate(counts)
+    assert abs(share - 0.875) < 0.01 and max(abs(a - b) for a, b in zip(alarm, alarms, strict=True)) < 0.004 and max(abs(a - b) for a, b in zip(hit, hits, strict=True)) < 0.05
+    df = spark.createDataFrame([(1, "word " * 60, "k"), (2, None, "k"), (2, None, None)], "doc_id long, text string, labeller string")
+    got = {r["labeller"]: r for r in quality_model.accuracies(df).collect()}
+    assert list(got) == list(quality_model.LABELLERS) and got["stutter"]["n_bad"] == 1 and got["capitals"]["n_votes"] == 1
+    assert quality_model.accuracies(df.limit(0)).where("n_votes > 0").count() == 0
+
+
 def test_classifier_table(spark):
     df = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (2, "", "k"), (3, "word " * 500, None)], "doc_id long, text string, quality string")
     got = quality_model.classified(df)
