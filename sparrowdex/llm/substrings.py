@@ -8,7 +8,7 @@ Documents are dealt to chunks of bounded size. Four steps talk between chunks an
 3. a repeat of WINDOW words holds a whole block of the smaller document, since WINDOW >= 2 * ANCHOR - 1. So chunks
    extend each hit, on both sides of it, to all WINDOW-word windows around it and send 96 bits of these windows' hashes; a part finds
    each one's smallest document and tells the chunks that have it in larger ones;
-4. a chunk joins the windows so found to maximal repeats and removes them.
+4. a chunk joins the windows so found, known by the same 96 bits, to maximal repeats and removes them.
 
 However often a passage occurs, a chunk sends its hash once, so a part reads it once a chunk at most, and no pairs are ever made.
 """
@@ -35,7 +35,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 HITS = "chunk long, n int, keys binary, lo binary, hi binary"
 SENT = "part int, chunk long, n int, keys binary, docs binary, n_blocks int, block_keys binary, block_docs binary"
 WIDE = "part int, chunk long, n int, a binary, b binary, lo binary, hi binary"
-FOUND = "chunk long, n int, a binary, lo binary"
+FOUND = "chunk long, n int, a binary, b binary, lo binary"
 SPANS = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string"
 
 
@@ -100,11 +100,17 @@ class Chunk:
 
 def _low(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(part, low 40 bits) of hashes: among the bounded number of hashes in a part these few bits hardly ever meet by chance, and such a hit finds no window."""
-    return ((h >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64), h & np.uint64((1 << 40) - 1)
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), h & np.uint64((1 << 40) - 1)
 
 
-def _cuts(part: np.ndarray, parts: int) -> list[int]:
-    return np.searchsorted(part, np.arange(parts + 1)).tolist()
+def _key(part, low: np.ndarray) -> np.ndarray:
+    """Both in one number. Beyond 2^24 parts (128 TB of text) two parts may share one: a hit more to extend, and no window more."""
+    return np.asarray(part).astype(np.uint64) << np.uint64(40) | low
+
+
+def _cuts(part: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
+    """Where the entries of each part in `of` begin and end in the sorted `part`."""
+    return list(zip(np.searchsorted(part, of).tolist(), np.searchsorted(part, of, "right").tolist(), strict=True))
 
 
 def _send(parts: int):
@@ -127,13 +133,11 @@ def _send(parts: int):
             return p[order], x[order], c.doc_ids[d[order]]
 
         w, b = once(part, low, doc, True), once(part[block], low[block], doc[block], False)
-        cw, cb = _cuts(w[0], parts), _cuts(b[0], parts)
+        of = np.unique(w[0])  # a block is a window too
         rows = {k: [] for k in ("part", "chunk", "n", "keys", "docs", "n_blocks", "block_keys", "block_docs")}
-        for p in range(parts):
-            i, j, k, m = cw[p], cw[p + 1], cb[p], cb[p + 1]
-            if i < j:
-                for name, value in zip(rows, (p, chunk, j - i, _planes(w[1][i:j], 5), _planes(w[2][i:j]), m - k, _planes(b[1][k:m], 5), _planes(b[2][k:m])), strict=True):
-                    rows[name].append(value)
+        for p, (i, j), (k, m) in zip(of.tolist(), _cuts(w[0], of), _cuts(b[0], of), strict=True):
+            for name, value in zip(rows, (p, chunk, j - i, _planes(w[1][i:j], 5), _planes(w[2][i:j]), m - k, _planes(b[1][k:m], 5), _planes(b[2][k:m])), strict=True):
+                rows[name].append(value)
         return pa.table(rows, schema=_schema(SENT))
 
     return run
@@ -166,7 +170,7 @@ def _hits(t: pa.Table) -> pa.Table:
     for chunk, k in matched:
         k = k[lo[k] < hi[k]]
         if len(k):
-            for name, value in zip(out, (chunk, len(k), _planes(bx[k] | np.uint64(part << 48)), _planes(lo[k]), _planes(hi[k])), strict=True):
+            for name, value in zip(out, (chunk, len(k), _planes(_key(part, bx[k])), _planes(lo[k]), _planes(hi[k])), strict=True):
                 out[name].append(value)
     return pa.table(out, schema=_schema(HITS))
 
@@ -180,9 +184,11 @@ def _extend(parts: int):
         key, lo, hi = (np.concatenate([_from_planes(r[k], r["n"], kind) for r in rows]) for k, kind in (("keys", np.uint64), ("lo", np.int64), ("hi", np.int64)))
         order = np.argsort(key)
         key, lo, hi = key[order], lo[order], hi[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, lo, hi = key[new], np.minimum.reduceat(lo, new), np.maximum.reduceat(hi, new)
         at = c.windows(ANCHOR)
         part, low = _low(c.rolled(ANCHOR, at), parts)
-        mine = part.astype(np.uint64) << np.uint64(48) | low
+        mine = _key(part, low)
         k = np.minimum(np.searchsorted(key, mine), len(key) - 1)
         doc = c.doc_of[at]
         d = c.doc_ids[doc]
@@ -204,9 +210,8 @@ def _extend(parts: int):
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         last = np.append(new[1:], True)
         a, b, lo, hi, part = a[new], b[new], d[new], d[last], part[new]
-        cut, out = _cuts(part, parts), {x.name: [] for x in _schema(WIDE)}
-        for p in np.unique(part).tolist():
-            i, j = cut[p], cut[p + 1]
+        of, out = np.unique(part), {x.name: [] for x in _schema(WIDE)}
+        for p, (i, j) in zip(of.tolist(), _cuts(part, of), strict=True):
             for name, value in zip(out, (p, chunk, j - i, _planes(a[i:j]), _planes(b[i:j], 4), _planes(lo[i:j]), _planes(hi[i:j])), strict=True):
                 out[name].append(value)
         return pa.table(out, schema=_schema(WIDE))
@@ -226,14 +231,14 @@ def _firsts(t: pa.Table) -> pa.Table:
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     lo = lo[new][np.cumsum(new) - 1]
     late = hi > lo
-    a, lo, of = a[late], lo[late], of[late]
+    a, b, lo, of = a[late], b[late], lo[late], of[late]
     order = np.argsort(of, kind="stable")
-    a, lo, of = a[order], lo[order], of[order]
+    a, b, lo, of = a[order], b[order], lo[order], of[order]
     out = {x.name: [] for x in _schema(FOUND)}
     cut = np.searchsorted(of, np.arange(len(rows) + 1)).tolist()
     for k in np.unique(of).tolist():
         i, j = cut[k], cut[k + 1]
-        for name, value in zip(out, (rows[k]["chunk"], j - i, _planes(a[i:j]), _planes(lo[i:j])), strict=True):
+        for name, value in zip(out, (rows[k]["chunk"], j - i, _planes(a[i:j]), _planes(b[i:j], 4), _planes(lo[i:j])), strict=True):
             out[name].append(value)
     return pa.table(out, schema=_schema(FOUND))
 
@@ -243,13 +248,22 @@ def _remove(docs: pa.Table, found: pa.Table) -> pa.Table:
     gone = np.zeros(len(c.hashes) + WINDOW + 1, np.int32)
     if found.num_rows:
         rows = found.to_pylist()
-        a, lo = (np.concatenate([_from_planes(r[k], r["n"], kind) for r in rows]) for k, kind in (("a", np.uint64), ("lo", np.int64)))
-        order = np.argsort(a)
-        a, lo = a[order], lo[order]
+        a, b, lo = (np.concatenate([_from_planes(r[k], r["n"], kind, n) for r in rows]) for k, kind, n in (("a", np.uint64, 8), ("b", np.uint64, 4), ("lo", np.int64, 8)))
+        order = np.lexsort((b, a))
+        a, b, lo = a[order], b[order], lo[order]
         at = c.windows(WINDOW)
         x = c.rolled(WINDOW, at)
         k = np.minimum(np.searchsorted(a, x), len(a) - 1)
-        hit = at[(a[k] == x) & (c.doc_ids[c.doc_of[at]] > lo[k])]
+        same = a[k] == x
+        at, x, k = at[same], x[same], k[same]
+        y = c.rolled(WINDOW, at, 1) & np.uint64((1 << 32) - 1)
+        while True:  # past windows that share 64 bits with another one
+            after = np.minimum(k + 1, len(a) - 1)
+            on = (b[k] != y) & (a[after] == x) & (after > k)
+            if not on.any():
+                break
+            k = np.where(on, after, k)
+        hit = at[(b[k] == y) & (c.doc_ids[c.doc_of[at]] > lo[k])]
         np.add.at(gone, hit, 1)
         np.add.at(gone, hit + WINDOW, -1)
     gone = np.cumsum(gone)[: len(c.hashes)] > 0
@@ -269,10 +283,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row (SPANS) per row: the maximal runs of words covered by windows that also start in a document with a smaller id.
 
     Null texts have no words. Rows that share an id are one document to each other: a window is removed only for a smaller id. Rows with a null id
-    keep all words and make no other row lose any. An empty table gives no rows.
+    keep all words and make no other row lose any. An empty table gives no rows. Other columns are not read. Windows of equal words are told by 96 bits
+    of two hashes: among the 2e13 windows of 100 TB 3e-3 pairs of different ones are expected to share them.
     """
     size, count = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.count("*")).first()
-    chunks, parts = max(1, -(-(size or 0) // CHUNK_BYTES), count // 20_000), min(65_536, max(1, -(-(size or 0) // PART_BYTES)))
+    chunks, parts = max(1, -(-(size or 0) // CHUNK_BYTES), count // 20_000), max(1, -(-(size or 0) // PART_BYTES))
     d = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     d = d.repartition("chunk")  # one shuffle of the texts: the three steps below reuse it
     hits = d.groupBy("chunk").applyInArrow(_send(parts), SENT).groupBy("part").applyInArrow(_hits, HITS)

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,6 +113,34 @@ def test_substrings(spark, monkeypatch):
     assert substrings.repeated_spans(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7, 100_000, (1 << 24) + 5, (1 << 31) - 1])
+def test_substrings_with_any_number_of_parts(parts):
+    """The four steps by hand: as many parts as 100 TB and more would have. A window is told by both of its hashes."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(120)]
+    docs = [(d, " ".join([f"w{x}" for x in rng.integers(0, 500, 90)] + (passage if d % 3 else []) + ["end"] * (d % 5))) for d in range(12)]
+    chunks = [pa.table({"chunk": pa.array([c] * 4, pa.int64()), "doc_id": [d for d, _ in docs[4 * c : 4 * c + 4]], "text": [t for _, t in docs[4 * c : 4 * c + 4]]}) for c in range(3)]
+
+    def dealt(tables, key):
+        t = pa.concat_tables(tables)
+        return [t.filter(pa.compute.equal(t[key], k)) for k in pa.compute.unique(t[key])]
+
+    hits = [substrings._hits(t) for t in dealt([substrings._send(parts)(c) for c in chunks], "part")]
+    hits = {t["chunk"][0].as_py(): t for t in dealt(hits, "chunk")}
+    wide = [substrings._extend(parts)(c, hits[k]) for k, c in enumerate(chunks) if k in hits]
+    found = {t["chunk"][0].as_py(): t for t in dealt([substrings._firsts(t) for t in dealt(wide, "part")], "chunk")}
+    none = pa.table({x.name: [] for x in substrings._schema(substrings.FOUND)}, schema=substrings._schema(substrings.FOUND))
+    rows = [r for k, c in enumerate(chunks) for r in substrings._remove(c, found.get(k, none)).to_pylist()]
+    assert {r["doc_id"]: [(r["n_words"], r["n_removed"], r["kept_sha256"])] for r in rows} == brute_removed(docs)
+    # another hash that agrees in 64 bits, before or after the true one, neither hides it nor counts
+    whole, k = found[1].to_pylist(), 1
+    for r in whole:
+        a, b, lo = (substrings._from_planes(r[x], r["n"], kind, n) for x, kind, n in (("a", np.uint64, 8), ("b", np.uint64, 4), ("lo", np.int64, 8)))
+        wrong = np.concatenate([b ^ np.uint64(1 << 31), b ^ np.uint64(1)])
+        r.update(n=3 * r["n"], a=substrings._planes(np.tile(a, 3)), b=substrings._planes(np.concatenate([b, wrong]), 4), lo=substrings._planes(np.tile(lo, 3)))
+    assert substrings._remove(chunks[k], pa.Table.from_pylist(whole, found[k].schema)).to_pylist() == [r for r in rows if r["doc_id"] in chunks[k]["doc_id"].to_pylist()]
+
+
 # -- token files
 
 @settings(max_examples=40, deadline=None)
