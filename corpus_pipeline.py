@@ -2,7 +2,8 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again. All but the last return the columns of documents, and any others that
 the table has, whatever their names. In every stage an empty table gives an empty one, repeated rows count as rows of their own (but
-near_dedup keeps one of them), and rows without a doc_id, text, source or language go through like others.
+near_dedup keeps one of them), and rows without a doc_id, text, source or language go through like others. Stages that run Python bound the
+session's Arrow batches by bytes.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowdex.llm import mixing, pieces, quality_model, secrets, simhash
-from sparrowdex.llm.common import new_folder, remove_folder, saved, table, unwrapped, whole
+from sparrowdex.llm.common import new_folder, remove_folder, saved, small_batches, table, unwrapped, whole
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects. Null texts and texts without words are kept."""
+    small_batches(spark)
     rows = docs.select(whole(docs), F.col("doc_id"), F.col("text"))
     return unwrapped(quality_model.classified(rows).where("quality_kept"), docs.columns)
 
@@ -25,6 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are joined by doc_id (null as well) and a hash of all columns; of equal rows one is kept. Texts without words are near-duplicates of each other.
     """
+    small_batches(spark)
     nulls = F.array(*[F.col(f"`{c}`").isNull() for c in docs.columns])
     rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), nulls.alias("nulls"))
     rows = rows.select("doc", "doc_id", "text", F.xxhash64("doc", "nulls").alias("key"))
@@ -36,6 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; n_chars follows the text. Null texts stay null."""
+    small_batches(spark)
     out = secrets.redact(docs, secrets.Ledger(spark, new_folder(spark, "secret-ledger")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
@@ -64,6 +68,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     import public_tokenizers
 
+    small_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     clash = {"id", *pieces.ROUND_TRIP}
     names = {c: f"{c}_before" if c in clash else c for c in others}

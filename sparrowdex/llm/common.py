@@ -57,6 +57,18 @@ def unwrapped(df: DataFrame, columns: list[str], **new):
     return df.select(*[(new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in columns])
 
 
+#: Bytes of rows that go to a Python worker at once, at most.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session by bytes: by rows alone, 10,000 long texts are one batch, which the JVM and the worker each hold more than once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph with columns a, b (long): one row (node, root) per node that has an edge, root the smallest node.
 

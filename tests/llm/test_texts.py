@@ -446,3 +446,17 @@ def test_toxicity_learns_from_late_sentences(spark, monkeypatch):
     assert seen[0] >= 3  # a sentence of each kind, none, and sentences in disguise
     want = {round(k.decision(v), 4) for v in k.batch([t for _, t, _ in rows])}
     assert {round(float(d), 4) for d in scale[0]} == want
+
+
+def test_small_batches(spark):
+    from sparrowdex.llm.common import BATCH_BYTES, small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, bound in (("64m", BATCH_BYTES), ("-1", BATCH_BYTES), ("1000", 1000)):
+            spark.conf.set(key, given)
+            small_batches(spark)
+            assert spark.conf.get(key) == str(bound)
+    finally:
+        spark.conf.set(key, before)
