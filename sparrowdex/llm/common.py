@@ -63,10 +63,8 @@ BATCH_BYTES = 2 << 20
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of the session by bytes: by rows alone, 10,000 long texts are one batch, which the JVM and the worker each hold more than once."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
