@@ -94,6 +94,9 @@ def test_sorting(engine):
 def test_profile_and_lookups(engine):
     p = engine.profile("haus", [Filter("lang", "eq", "de")])
     assert p["metrics"]["matching"] == 2 and p["filters"][0]["after"] == 2 and p["terms"][0]["df"] == 2 and p["recommendations"]
+    hits = [d for d in DOCS if d[0] in {r[0] for r in engine.plan("haus")[1].where("lang = 'de'").select("doc_id").collect()}]
+    want = {d: (len({h[k] for h in hits} - {None, ""}), sum(h[k] not in (None, "") for h in hits)) for d, k in (("lang", 2), ("source", 3)) if d in engine.dims}
+    assert want and {c["dim"]: (c["n_values"], c["n_hits"]) for c in p["facets"] if c["dim"] in want} == want and all(c["ms"] > 0 for c in p["facets"])
     assert engine.get(3)["truncated"] is False and engine.get(99) is None
     assert "text_lemma_de" in engine.field_names()
     n, top = observe.suggest_terms(engine.index, "part")
